@@ -11,7 +11,8 @@ Lines that share a variant at the same position differ in that one character; a
 differs by one insertion. So each group of equal variants needs only its earliest line (or the line that equals
 the variant), not its pairs, and what is found is verified by edit distance on the texts. Before variants are
 emitted, lines that cannot have a partner are set aside: of two lines within one edit the first or the last
-half is equal, so a line whose halves no other line has needs no variants. Nothing is lost by that.
+half is equal, so a line whose halves no other line has needs no variants, nor does one that equals no other outside an eighth of its
+length. Nothing is lost by that.
 
 Defined cases: a null text stays null, an empty one empty. Rows without an id come last in order, one unit. Rows
 that repeat a doc_id count as one document: they keep the same lines. Ties cannot occur: positions differ. An
@@ -33,10 +34,6 @@ LAST = (1 << 63) - 1  # the order of rows without an id
 BROADCAST_ROWS = 100_000
 
 
-def _trimmed(line: str) -> str:
-    return rf"regexp_replace({line}, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '')"
-
-
 def _characters(text: str) -> np.ndarray:
     """A 64-bit value for each code point."""
     h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -79,7 +76,7 @@ def first_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each distinct trimmed line: its first occurrence (d, pos), length n and half keys."""
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d")
     lines = docs.where("text is not null").select(order, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("d", "pos", F.expr(_trimmed("line")).alias("t")).where("t <> ''")
+    lines = lines.select("d", "pos", F.trim("line", F.lit(BLANKS)).alias("t")).where("t <> ''")
 
     def half(size: str, left: bool):
         text = f"left(t, {size} div 2)" if left else f"right(t, {size} - {size} div 2)"
@@ -121,6 +118,7 @@ def near_copies(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id") -> D
             yield pd.DataFrame({"d": np.array(d, np.int64), "pos": np.array(pos, np.int32), "t": out})
 
     lines = stage(texts.mapInPandas(pick, "d long, pos int, t string").dropDuplicates(["d", "pos"]), "lines-text")
+    lines = lines.join(_with_a_window_in_common(lines), ["d", "pos"], "left_semi")
 
     def vary(batches):
         for pdf in batches:
@@ -129,15 +127,11 @@ def near_copies(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id") -> D
                 yield pd.DataFrame({"key": keys, "role": roles, "d": i, "pos": np.int32(p)})
 
     variants = lines.mapInPandas(vary, "key long, role byte, d long, pos int")
+    shared = variants.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    variants = stage(variants.join(shared, "key"), "lines-variants")
     at = F.struct("d", "pos")
-    groups = (
-        variants.groupBy("key")
-        .agg(
-            F.count("*").alias("m"),
-            F.min(F.when(F.col("role") == 0, at)).alias("owner"),
-            F.min(F.when(F.col("role") != 0, at)).alias("member"),
-        )
-        .where("m > 1")
+    groups = variants.groupBy("key").agg(
+        F.min(F.when(F.col("role") == 0, at)).alias("owner"), F.min(F.when(F.col("role") != 0, at)).alias("member")
     )
     partner = F.when(F.col("role") == 1, F.col("owner")).otherwise(F.col("member"))
     pairs = (
@@ -153,6 +147,18 @@ def near_copies(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id") -> D
     return met.where(F.levenshtein("t", "pt", 1) == 1).select("d", "pos").distinct()
 
 
+def _with_a_window_in_common(lines: DataFrame) -> DataFrame:
+    """(d, pos) of the lines that equal another outside one of the eighths: two lines within one edit do."""
+    cut = [
+        F.expr(f"xxhash64(left(t, {size} * {w} div 8), {w}, right(t, cast({size} - {size} * {w + 1} div 8 as int)), {size})")
+        for size in ("n", "(n - 1)")
+        for w in range(8)
+    ]
+    windows = lines.withColumn("n", F.length("t")).select("d", "pos", F.explode(F.array(*cut)).alias("k"))
+    shared = windows.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
+    return windows.join(shared, "k").select("d", "pos").distinct()
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", counts: bool = False) -> DataFrame:
     """``docs`` with the lines kept; with counts also n_lines and n_removed (null for a null text)."""
     firsts = stage(first_lines(docs, id_col), "lines-first")
