@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_groups, not_null, packed_vectors, stack, stage
+from .common import map_groups, not_null, packed_vectors, small_batches, stack, stage
 
 CHUNK = 4096  # vectors of a list in one tile
 QUERY_CHUNK = 512  # queries in one tile
@@ -140,8 +140,9 @@ def search(
             rows.mapInPandas(pack, "vec_id long, packed binary, dims int").where(not_null("vec_id", "packed")), name
         )
 
-    base, asked = packed(vectors, "base"), packed(queries, "queries")
     spark = vectors.sparkSession
+    small_batches(spark)
+    base, asked = packed(vectors, "base"), packed(queries, "queries")
     out = "query_id long, rank int, vec_id long, score double"
     counted = base.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
     if counted is None:

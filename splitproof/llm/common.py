@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,6 +29,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named or jsc.getCheckpointDir().get()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep what Spark hands to a Python worker at once to a few MB, whatever the length of the texts."""
+    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub(r"\D", "", spark.conf.get(name)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(name, most)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of a small frame with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+)|(<)",
     re.S,
@@ -39,7 +41,7 @@ BLOCK = set(
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "param", "track"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PATH_SLOTS, WORD_SLOTS, COUNTS = 2048, 512, 8
-MEMO = 200_000
+MEMO = 100_000
 
 
 def _slot(text: str, slots: int) -> int:
@@ -530,6 +532,7 @@ def main_text(model: Labeller, pages: list[str | None]) -> list[str]:
 
 def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id") -> DataFrame:
     """id, url, text, n_chars of each page."""
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

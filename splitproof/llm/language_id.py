@@ -25,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WORD = re.compile(r"[^\W\d_]+")
 SIZES = (5, 4, 3, 2, 1)
-MEMO = 300_000  # words whose scores a Python worker keeps
+MEMO = 150_000  # words whose scores a Python worker keeps
 UNKNOWN = "und"
 
 
@@ -97,6 +99,7 @@ def fit(
     labelled: DataFrame, id_col: str = "doc_id", max_docs: int = 6_000, max_words: int = 80_000, max_grams: int = 30_000
 ) -> BackoffModel:
     """Fit on (id, text, lang); rows with a null id, text or language are passed over."""
+    small_batches(labelled.sparkSession)
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col(id_col).isNotNull())
     draw = F.xxhash64(id_col, F.lit(41))
     picked = usable.select(draw.alias("draw"), F.col(id_col).alias("id"), "text", "lang").orderBy("draw", "id").limit(max_docs)
@@ -142,6 +145,7 @@ def fit(
 
 def identify(docs: DataFrame, model: BackoffModel, id_col: str = "doc_id") -> DataFrame:
     """id, lang_pred, score of every document; the text is the only input of a prediction."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):

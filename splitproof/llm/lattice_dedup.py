@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, map_groups, not_null, packed_vectors, stack, stage, with_tiles
+from .common import connected_components, forest, map_groups, not_null, packed_vectors, small_batches, stack, stage, with_tiles
 
 CHUNK = 512  # rows of a tile's side
 
@@ -176,6 +176,7 @@ def near_embeddings(
                 {"vec_id": pdf["id"].astype("Int64"), "packed": packed, "dims": [len(p) // 8 if p else 0 for p in packed]}
             )
 
+    small_batches(vectors.sparkSession)
     rows = stage(
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(
             pack, "vec_id long, packed binary, dims int"

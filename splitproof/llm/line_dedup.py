@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side, stage
+from .common import small_batches, small_side, stage
 
 MIN_NEAR = 10
 BLANKS = " \t\n\x0b\x0c\r"
@@ -120,11 +120,20 @@ def near_copies(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id") -> D
     lines = stage(texts.mapInPandas(pick, "d long, pos int, t string").dropDuplicates(["d", "pos"]), "lines-text")
     lines = lines.join(_with_a_window_in_common(lines), ["d", "pos"], "left_semi")
 
+    names = ["key", "role", "d", "pos"]
+
     def vary(batches):
         for pdf in batches:
+            held, rows = [], 0
             for i, p, t in zip(pdf["d"], pdf["pos"], pdf["t"], strict=True):
                 keys, roles = variant_keys(t)
-                yield pd.DataFrame({"key": keys, "role": roles, "d": i, "pos": np.int32(p)})
+                held.append((keys, roles, np.full(len(keys), i, np.int64), np.full(len(keys), p, np.int32)))
+                rows += len(keys)
+                if rows > 100_000:
+                    yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*held, strict=True), strict=True)})
+                    held, rows = [], 0
+            if held:
+                yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*held, strict=True), strict=True)})
 
     variants = lines.mapInPandas(vary, "key long, role byte, d long, pos int")
     shared = variants.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
@@ -161,6 +170,7 @@ def _with_a_window_in_common(lines: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", counts: bool = False) -> DataFrame:
     """``docs`` with the lines kept; with counts also n_lines and n_removed (null for a null text)."""
+    small_batches(docs.sparkSession)
     firsts = stage(first_lines(docs, id_col), "lines-first")
     kept = firsts.select("d", "pos").join(near_copies(docs, firsts, id_col), ["d", "pos"], "left_anti")
     lists = kept.groupBy(F.col("d").alias("__d")).agg(F.collect_list("pos").alias("__kept"))

@@ -32,13 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, map_groups, stage, with_tiles
+from .common import connected_components, forest, map_groups, small_batches, stage, with_tiles
 
 WORD = re.compile(r"\w+")
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
-MEMO = 400_000
+MEMO = 150_000
 BUCKET_CHUNK = 512
 TILE_CHUNK = 256
 _memo: dict[str, int] = {}
@@ -110,6 +110,7 @@ def near_documents(
     directly, copies included), component_id (smallest id reachable by links)."""
     bands, rows = bands_for(threshold, recall)
     hashes = bands * rows
+    small_batches(docs.sparkSession)
 
     def sketch(batches):
         signer = Signer(hashes)

@@ -31,9 +31,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SPACE = "▁"
-MEMO = 400_000  # chunks kept by a Python worker
+MEMO = 120_000  # chunks in each half of what a Python worker keeps
 MEMO_CHARS = 40  # of a chunk that is kept
+PAIRS = 1_000_000  # pair tests kept by a Python worker
 FAR = 1 << 60
 
 
@@ -83,6 +86,7 @@ class PieceTable:
     automaton: object = None
     pairs: dict[int, bool] = field(default_factory=dict)
     encoded: dict[str, tuple[str, str]] = field(default_factory=dict)
+    older: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str) -> PieceTable:
@@ -121,6 +125,7 @@ class PieceTable:
             a.add_word(self.pieces[i], (i, len(self.pieces[i])))
         a.make_automaton()
         self.automaton = a
+        self.lengths = [len(p) for p in self.pieces]
         self.split = re.compile(self.chunks).findall
 
     def compatible(self, a: int, b: int) -> bool:
@@ -144,33 +149,31 @@ class PieceTable:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) < 4_000_000:
-            self.pairs[key] = out
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = out
         return out
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of one chunk: fill the table of last tokens, then walk it backwards."""
         n = len(chunk)
-        last = [-1] * (n + 1)  # last token of the prefix that ends here
-        start = [0] * (n + 1)
+        last = [-1] * (n + 1)  # last token of the prefix that ends here; -1 at the start and after a character without a piece
         whole = self.piece_id.get(chunk)
         if whole is not None and whole in self.left_spine:
             return [whole]
-        compatible = self.compatible
-        filled = 0  # prefixes up to here have their last token
+        known, compatible = self.pairs.get, self.compatible
         for end, (token, length) in self.automaton.iter(chunk):
             end += 1
-            while filled < end - 1:  # characters without a piece
-                filled += 1
-                if last[filled] == -1:
-                    last[filled], start[filled] = -2, filled - 1
-            if last[end] != -1:
+            if last[end] >= 0:
                 continue
-            begin = end - length
-            before = last[begin]
-            if begin == 0 or before == -2 or compatible(before, token):
-                last[end], start[end] = token, begin
+            before = last[end - length]
+            if before >= 0:
+                fits = known(before << 32 | token)
+                if not (compatible(before, token) if fits is None else fits):
+                    continue
+            last[end] = token
         ids: list[int] = []
+        lengths = self.lengths
         while n > 0:
             token = last[n]
             if token < 0:
@@ -178,7 +181,7 @@ class PieceTable:
                 n -= 1
             else:
                 ids.append(token)
-                n = start[n]
+                n -= lengths[token]
         ids.reverse()
         return ids
 
@@ -213,12 +216,15 @@ class PieceTable:
         known = self.encoded.get(chunk)
         if known is not None:
             return known
-        ids = self.encode_chunk(chunk)
-        out = (",".join(map(str, ids)), self._surface(ids))
-        if len(chunk) <= MEMO_CHARS:
-            if len(self.encoded) >= MEMO:
-                self.encoded.clear()
-            self.encoded[chunk] = out
+        out = self.older.get(chunk)
+        if out is None:
+            ids = self.encode_chunk(chunk)
+            out = (",".join(map(str, ids)), self._surface(ids))
+            if len(chunk) > MEMO_CHARS:
+                return out
+        if len(self.encoded) >= MEMO:  # what is in use comes over from the older half as it is met again
+            self.older, self.encoded = self.encoded, {}
+        self.encoded[chunk] = out
         return out
 
     def round_trip(self, text: str | None) -> tuple[str, str]:
@@ -286,6 +292,7 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_i
     The table is built on the driver and broadcast: its size is the vocabulary's, whatever the input.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(PieceTable.load(model_path))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
@@ -296,7 +303,7 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_i
         if table.automaton is None:
             table.prepare()
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for pdf in batches:
+        for pdf in (b.iloc[i : i + 256] for b in batches for i in range(0, len(b), 256)):
             rows: list[tuple] = []
             for text in pdf["text"]:
                 ids, decoded = table.round_trip(text)

@@ -29,11 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WORD = re.compile(r"\w+")
 SLOTS = 1 << 20
 CATEGORIES = ("toxic", "repeated", "dense")
 FOLDS = 5
-MEMO = 300_000
+MEMO = 100_000
 _memo: dict[str, tuple[int, ...]] = {}
 
 
@@ -172,6 +174,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, per_class: int = 2_000) -> Tox
                 }
             )
 
+    small_batches(docs.sparkSession)
     # the sampled ids are at most 2 * per_class rows: small enough to send to every task
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
     got = rows.mapInPandas(extract, "draw long, toxic int, slots binary, counts binary, words int").toPandas()
@@ -186,6 +189,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, per_class: int = 2_000) -> Tox
 def score(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) -> DataFrame:
     """doc_id, toxic (boolean), and a probability for each category."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
+    small_batches(docs.sparkSession)
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches):
@@ -206,6 +210,8 @@ def drop_toxic(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) ->
     """The rows of ``docs``, in all their columns, that the chain doesn't flag; one pass, no join."""
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("boolean")
     def flagged(texts: pd.Series) -> pd.Series:
         rows = [features(t) for t in texts]
