@@ -131,11 +131,11 @@ def search(
         for pdf in batches:
             packed = packed_vectors(pdf["v"])
             yield pd.DataFrame(
-                {"vec_id": pdf["id"].astype("Int64"), "packed": packed, "dims": [len(p) // 8 if p else 0 for p in packed]}
+                {"vec_id": pdf["id"], "packed": packed, "dims": [len(p) // 8 if p else 0 for p in packed]}
             )
 
     def packed(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
         return stage(
             rows.mapInPandas(pack, "vec_id long, packed binary, dims int").where(not_null("vec_id", "packed")), name
         )

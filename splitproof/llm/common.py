@@ -172,6 +172,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return leaves.unionByName(roots)
 
 
+def bounded_draw(df: DataFrame, key: str, limit: int, seed: int) -> DataFrame:
+    """(key, draw) of at most ``limit`` rows, those with the smallest hash of the key.
+
+    A first cut by the hash leaves about twice as many as are wanted, so that the final order is a small one however
+    many partitions the input has.
+    """
+    whole = 1 << 40
+    rows = df.count()
+    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(whole))
+    first = df.select(F.col(key), draw.alias("draw")).where(F.col("draw") < int(whole * min(1.0, (2.0 * limit + 50) / max(rows, 1))))
+    return first.orderBy("draw", key).limit(limit)
+
+
 def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     """Hint a broadcast of a frame with a counted number of rows, only up to ``limit`` rows."""
     return F.broadcast(df) if rows <= limit else df

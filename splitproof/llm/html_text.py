@@ -541,11 +541,12 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id") -> DataF
                 part = pdf.iloc[begin : begin + 512]
                 texts = main_text(shared.value, list(part["html"]))
                 yield pd.DataFrame(
-                    {"id": part["id"].astype("Int64"), "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]}
+                    {"id": part["id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]}
                 )
 
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), "url", "html")
-    return rows.mapInPandas(run, "id long, url string, text string, n_chars long").withColumnRenamed("id", id_col)
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), "url", "html")  # as text: pandas has no whole numbers with nulls
+    out = rows.mapInPandas(run, "id string, url string, text string, n_chars long")
+    return out.select(F.col("id").cast("long").alias(id_col), "url", "text", "n_chars")
 
 
 def op7_html_text(spark, sf_dir: str) -> DataFrame:

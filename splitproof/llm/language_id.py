@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_draw, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 SIZES = (5, 4, 3, 2, 1)
@@ -101,8 +101,9 @@ def fit(
     """Fit on (id, text, lang); rows with a null id, text or language are passed over."""
     small_batches(labelled.sparkSession)
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col(id_col).isNotNull())
-    draw = F.xxhash64(id_col, F.lit(41))
-    picked = usable.select(draw.alias("draw"), F.col(id_col).alias("id"), "text", "lang").orderBy("draw", "id").limit(max_docs)
+    rows = usable.select(F.col(id_col).alias("id"), "text", "lang")
+    # the drawn ids are at most max_docs rows: small enough to send to every task
+    picked = rows.join(F.broadcast(bounded_draw(rows, "id", max_docs, 41).select("id").distinct()), "id")
 
     def count(batches):
         for pdf in batches:
@@ -114,7 +115,6 @@ def fit(
 
     rows = (
         picked.select("text", "lang")
-        .repartition(8)
         .mapInPandas(count, "lang string, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
@@ -153,13 +153,13 @@ def identify(docs: DataFrame, model: BackoffModel, id_col: str = "doc_id") -> Da
         for pdf in batches:
             out = [m.predict(t) for t in pdf["text"]]
             yield pd.DataFrame(
-                {"id": pdf["id"].astype("Int64"), "lang_pred": [o[0] for o in out], "score": np.array([o[1] for o in out], float)}
+                {"id": pdf["id"], "lang_pred": [o[0] for o in out], "score": np.array([o[1] for o in out], float)}
             )
 
     return (
-        docs.select(F.col(id_col).cast("long").alias("id"), "text")
-        .mapInPandas(predict, "id long, lang_pred string, score double")
-        .withColumnRenamed("id", id_col)
+        docs.select(F.col(id_col).cast("string").alias("id"), "text")  # as text: pandas has no whole numbers with nulls
+        .mapInPandas(predict, "id string, lang_pred string, score double")
+        .select(F.col("id").cast("long").alias(id_col), "lang_pred", "score")
     )
 
 

@@ -173,14 +173,14 @@ def near_embeddings(
         for pdf in batches:
             packed = packed_vectors(pdf["v"])
             yield pd.DataFrame(
-                {"vec_id": pdf["id"].astype("Int64"), "packed": packed, "dims": [len(p) // 8 if p else 0 for p in packed]}
+                {"vec_id": pdf["id"], "packed": packed, "dims": [len(p) // 8 if p else 0 for p in packed]}
             )
 
     small_batches(vectors.sparkSession)
     rows = stage(
-        vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInPandas(
-            pack, "vec_id long, packed binary, dims int"
-        ),
+        vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v"))  # pandas has no whole numbers with nulls
+        .mapInPandas(pack, "vec_id string, packed binary, dims int")
+        .withColumn("vec_id", F.col("vec_id").cast("long")),
         "vectors",
     )
     usable = rows.where(not_null("vec_id", "packed"))

@@ -173,9 +173,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", counts: bool = False) -
     small_batches(docs.sparkSession)
     firsts = stage(first_lines(docs, id_col), "lines-first")
     kept = firsts.select("d", "pos").join(near_copies(docs, firsts, id_col), ["d", "pos"], "left_anti")
-    lists = kept.groupBy(F.col("d").alias("__d")).agg(F.collect_list("pos").alias("__kept"))
+    lists = kept.groupBy("d").agg(F.collect_list("pos").alias("kept"))
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    joined = docs.withColumn("__d", order).join(lists, "__d", "left")
+    joined = docs.select(F.struct("*").alias("row"), order.alias("d")).join(lists, "d", "left")
 
     @F.pandas_udf("text string, n_lines int, n_removed int")
     def rebuild(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -190,17 +190,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", counts: bool = False) -
         out = pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
         return out.astype({"n_lines": "Int32", "n_removed": "Int32"})
 
-    built = joined.withColumn("__built", rebuild("text", "__kept"))
+    built = joined.withColumn("built", rebuild(F.col("row")["text"], F.col("kept")))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.col("__built.text").alias("text"))
+            columns.append(F.col("built.text").alias("text"))
         elif c == "n_chars":
-            columns.append(F.coalesce(F.length("__built.text"), F.lit(0)).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+            columns.append(F.coalesce(F.length("built.text"), F.lit(0)).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
         else:
-            columns.append(F.col(f"`{c}`"))
+            columns.append(F.col("row")[c].alias(c))
     if counts:
-        columns += [F.col("__built.n_lines").cast("long").alias("n_lines"), F.col("__built.n_removed").cast("long").alias("n_removed")]
+        columns += [F.col("built.n_lines").cast("long").alias("n_lines"), F.col("built.n_removed").cast("long").alias("n_removed")]
     return built.select(*columns)
 
 

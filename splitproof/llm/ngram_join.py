@@ -16,7 +16,7 @@ threshold. Steps:
 Large groups are dealt over many tiles and never gathered in one task; no partner is dropped or capped.
 
 Defined cases: a text of one to four words has one shingle, all its words. A null text or one without words
-has no shingles and links with nothing, nor does a row without an id (class and component are then its own id).
+has no shingles and links with nothing, nor does a row without an id (its class is then its own id).
 Rows that repeat a doc_id each count as copies. An empty table gives an empty result.
 """
 
@@ -106,8 +106,8 @@ class Signer:
 def near_documents(
     docs: DataFrame, id_col: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE_CHUNK
 ) -> DataFrame:
-    """One row per input row: id, class_id (smallest id with the same shingles), n_links (other documents linked
-    directly, copies included), component_id (smallest id reachable by links)."""
+    """One row per input row: id, copy_id (smallest id with the same shingles), n_links (other documents linked
+    directly, copies included), class_id (smallest id reachable by links)."""
     bands, rows = bands_for(threshold, recall)
     hashes = bands * rows
     small_batches(docs.sparkSession)
@@ -122,10 +122,14 @@ def near_documents(
                 h2.append(int(np.add.reduce(_mix(s ^ np.uint64(0x5851F42D4C957F2D)), initial=np.uint64(0)).view(np.int64)))
                 size.append(len(s))
                 sig.append(signer.sign(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "h1": h1, "h2": h2, "size": size, "sig": sig})
+            yield pd.DataFrame({"id": pdf["id"], "h1": h1, "h2": h2, "size": size, "sig": sig})
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), "text")
-    sketches = stage(texts.mapInPandas(sketch, "id long, h1 long, h2 long, size int, sig binary"), "sketches")
+    sketches = stage(texts.select(F.col("id").cast("string"), "text")  # as text: pandas has no whole numbers with nulls
+        .mapInPandas(sketch, "id string, h1 long, h2 long, size int, sig binary")
+        .withColumn("id", F.col("id").cast("long")),
+        "sketches",
+    )
     same = ["h1", "h2", "size"]
     classes = stage(
         sketches.where("id is not null and size > 0")
@@ -187,9 +191,9 @@ def near_documents(
         .join(components.withColumnRenamed("node", "rep"), "rep", "left")
         .select(
             *same,
-            F.col("rep").alias("class_id"),
+            F.col("rep").alias("copy_id"),
             (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("component", "rep").alias("class_id"),
         )
     )
     out = sketches.select("id", *same).join(found, same, "left")
@@ -198,7 +202,7 @@ def near_documents(
         F.col("id").alias(id_col),
         F.when(real, F.coalesce("class_id", "id")).alias("class_id"),
         F.when(real, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        F.when(real, F.coalesce("component_id", "id")).alias("component_id"),
+        F.when(real, F.coalesce("copy_id", "id")).alias("copy_id"),
     )
 
 
@@ -273,13 +277,14 @@ def _verify(threshold: float):
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that have a smaller id in their component; repeated rows of an id become one."""
+    """``docs`` without the documents that have a smaller id in their class; repeated rows of an id become one."""
     found = near_documents(docs, id_col, **options)
-    gone = found.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
+    gone = found.where(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
     real = docs.where(F.col(id_col).isNotNull())
     kept = real.join(gone, real[id_col] == gone["__gone"], "left_anti").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
-    return near_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return near_documents(docs).select("doc_id", "class_id", "n_links")

@@ -294,7 +294,7 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_i
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(PieceTable.load(model_path))
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
 
@@ -311,10 +311,12 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_i
                 rows.append((*row, np.fromstring(ids, np.int32, sep=","), decoded) if with_ids else row)
             names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_ids else 3]
             out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "id", pdf["id"].astype("Int64").to_numpy())
+            out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), "text").mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), "text")  # as text: pandas has no whole numbers with nulls
+    out = rows.mapInPandas(run, schema)
+    return out.select(F.col("id").cast("long").alias(id_col), *out.columns[1:])
 
 
 def default_model() -> str:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_draw, small_batches
 
 WORD = re.compile(r"\w+")
 SLOTS = 1 << 20
@@ -155,10 +155,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, per_class: int = 2_000) -> Tox
         labels.where("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").alias("id"))
         .agg(F.max("toxic").cast("int").alias("toxic"))
-        .withColumn("draw", F.xxhash64("id", F.lit(23)))
     )
-    chosen = flags.where("toxic = 1").orderBy("draw", "id").limit(per_class).unionByName(
-        flags.where("toxic = 0").orderBy("draw", "id").limit(per_class)
+    chosen = bounded_draw(flags.where("toxic > 0"), "id", per_class, 23).withColumn("toxic", F.lit(1)).unionByName(
+        bounded_draw(flags.where("toxic <= 0"), "id", per_class, 23).withColumn("toxic", F.lit(0))
     )
 
     def extract(batches):
@@ -198,12 +197,13 @@ def score(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) -> Data
             rows = [features(t) for t in pdf["text"]]
             p = c.predict(rows)
             out = pd.DataFrame(p, columns=names)
-            out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy())
+            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             out.insert(1, "toxic", (p[:, 0] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
             yield out
 
-    schema = "doc_id long, toxic boolean, " + ", ".join(f"{n} double" for n in names)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    schema = "doc_id string, toxic boolean, " + ", ".join(f"{n} double" for n in names)
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema)  # as text: pandas has no whole numbers with nulls
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def drop_toxic(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) -> DataFrame:
