@@ -33,11 +33,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, so some twice and some not at all."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     taken = mixing.mix(docs, mixing.quality_weights(labels)).where("copies > 0")
+    # rows without an id, and rows that repeat one, take the same number of copies each
     taken = taken.groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies")
-    same = docs["doc_id"].eqNullSafe(taken["__id"]) & docs["source"].eqNullSafe(taken["__source"])
-    both = docs.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return both.select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source")
+    same = rows["doc_id"].eqNullSafe(taken["doc_id"]) & rows["source"].eqNullSafe(taken["source"])
+    both = rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return both.select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
