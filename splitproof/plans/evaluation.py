@@ -308,12 +308,12 @@ def _differences(spark, d) -> DataFrame:
     return predictions(spark, d).groupBy("fold", "seed").agg((side("random") - side("patient")).alias("d"))
 
 
-_T = "round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 5) AS t, count(*) - 1 AS df"
+_T = "round(avg(d), 6) AS mean, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 4) AS t, count(*) - 1 AS df"
 
 
 @query("I6_one_sample_t", f"WITH {PREDS}, {_DIFF} SELECT {_T} FROM df")
 def i6(spark, d):
-    return I.one_sample_t(_differences(spark, d)).withColumn("t", F.round("t", 5))
+    return I.one_sample_t(_differences(spark, d)).withColumn("t", F.round("t", 4))
 
 
 @query("I6_t_interval")
@@ -328,7 +328,7 @@ def i6b(spark, d):
 @query("I7_paired_t", f"WITH {PREDS}, {_DIFF} SELECT seed, {_T} FROM df GROUP BY 1")
 def i7(spark, d):
     m, s, n = F.avg("d"), F.stddev_samp("d"), F.count("*")
-    return _differences(spark, d).groupBy("seed").agg(F.round(m, 6).alias("mean"), F.round(m / (s / F.sqrt(n)), 5).alias("t"), (n - 1).alias("df"))
+    return _differences(spark, d).groupBy("seed").agg(F.round(m, 6).alias("mean"), F.round(m / (s / F.sqrt(n)), 4).alias("t"), (n - 1).alias("df"))
 
 
 @query("I8_wilcoxon", f"WITH {PREDS}, {_DIFF}, r AS (SELECT round(d, 9) AS d, rank() OVER (ORDER BY abs(round(d, 9))) + (count(*) OVER (PARTITION BY abs(round(d, 9))) - 1) / 2.0::DOUBLE AS r FROM df WHERE round(d, 9) <> 0) SELECT round(least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)), 6) AS w FROM r")
@@ -348,11 +348,11 @@ def i9(spark, d):
     "I10_welch_t",
     f"""WITH {PREDS}, {_CELLS}, m AS (SELECT avg(v) FILTER (arm = 'random') AS ma, avg(v) FILTER (arm = 'patient') AS mb, var_samp(v) FILTER (arm = 'random') / count(*) FILTER (arm = 'random') AS x,
   var_samp(v) FILTER (arm = 'patient') / count(*) FILTER (arm = 'patient') AS y, count(*) FILTER (arm = 'random') AS na, count(*) FILTER (arm = 'patient') AS nb FROM cells)
-SELECT round((ma - mb) / sqrt(x + y), 5) AS t, round((x + y) * (x + y) / (x * x / (na - 1) + y * y / (nb - 1)), 5) AS df FROM m""",
+SELECT round((ma - mb) / sqrt(x + y), 3) AS t, round((x + y) * (x + y) / (x * x / (na - 1) + y * y / (nb - 1)), 3) AS df FROM m""",
 )
 def i10(spark, d):
     cells = M.accuracy(predictions(spark, d), ["arm", "fold", "seed"])
-    return I.welch_t(cells, "accuracy", F.col("arm") == "random").select(F.round("t", 5).alias("t"), F.round("df", 5).alias("df"))
+    return I.welch_t(cells, "accuracy", F.col("arm") == "random").select(F.round("t", 3).alias("t"), F.round("df", 3).alias("df"))
 
 
 @query("I10_mann_whitney", f"WITH {PREDS}, {_CELLS}, r AS (SELECT arm, rank() OVER (ORDER BY round(v, 9)) + (count(*) OVER (PARTITION BY round(v, 9)) - 1) / 2.0::DOUBLE AS r FROM cells) SELECT round(sum(r) - count(*) * (count(*) + 1) / 2.0::DOUBLE, 6) AS u FROM r WHERE arm = 'random'")
