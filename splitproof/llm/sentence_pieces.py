@@ -85,8 +85,6 @@ class PieceTable:
     chunks: str  # pattern of the chunks that are encoded on their own
     automaton: object = None
     pairs: dict[int, bool] = field(default_factory=dict)
-    encoded: dict[str, tuple[str, str]] = field(default_factory=dict)
-    older: dict[str, tuple[str, str]] = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str) -> PieceTable:
@@ -126,11 +124,17 @@ class PieceTable:
         a.make_automaton()
         self.automaton = a
         self.lengths = [len(p) for p in self.pieces]
+        self.names = [str(i) for i in range(len(self.pieces))]
+        self.shown = [p.replace(SPACE, " ") for p in self.pieces]
+        for i in self.bytes_id:
+            self.shown[i] = None
+        self.bits = len(self.pieces).bit_length()
+        self.memo = _Memo(self.chunk_entry)
         self.split = re.compile(self.chunks).findall
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the texts of two tokens, put together, encode to these two tokens."""
-        key = a << 32 | b
+        key = a << self.bits | b
         known = self.pairs.get(key)
         if known is not None:
             return known
@@ -161,14 +165,14 @@ class PieceTable:
         whole = self.piece_id.get(chunk)
         if whole is not None and whole in self.left_spine:
             return [whole]
-        known, compatible = self.pairs.get, self.compatible
+        known, compatible, bits = self.pairs.get, self.compatible, self.bits
         for end, (token, length) in self.automaton.iter(chunk):
             end += 1
             if last[end] >= 0:
                 continue
             before = last[end - length]
             if before >= 0:
-                fits = known(before << 32 | token)
+                fits = known(before << bits | token)
                 if not (compatible(before, token) if fits is None else fits):
                     continue
             last[end] = token
@@ -212,29 +216,41 @@ class PieceTable:
         return text + _characters(bytes(raw)) if raw else text
 
     def chunk_entry(self, chunk: str) -> tuple[str, str]:
-        """Ids of a chunk, comma-joined, and its decoded surface; kept for short chunks."""
-        known = self.encoded.get(chunk)
-        if known is not None:
-            return known
-        out = self.older.get(chunk)
-        if out is None:
-            ids = self.encode_chunk(chunk)
-            out = (",".join(map(str, ids)), self._surface(ids))
-            if len(chunk) > MEMO_CHARS:
-                return out
-        if len(self.encoded) >= MEMO:  # what is in use comes over from the older half as it is met again
-            self.older, self.encoded = self.encoded, {}
-        self.encoded[chunk] = out
-        return out
+        """Ids of a chunk, comma-joined, and its decoded surface."""
+        ids = self.encode_chunk(chunk)
+        names, shown = self.names, self.shown
+        try:
+            surface = "".join([shown[i] for i in ids])
+        except TypeError:  # byte pieces have no text of their own
+            surface = self._surface(ids)
+        return ",".join([names[i] for i in ids]), surface
 
     def round_trip(self, text: str | None) -> tuple[str, str]:
         """(comma-joined ids, decoded text) of a whole text."""
         if not text:
             return "", ""
-        entry = self.chunk_entry
-        both = [entry(c) for c in self.chunks_of(text)]
-        decoded = "".join([b[1] for b in both])
-        return ",".join([b[0] for b in both]), decoded[1:]
+        ids, surfaces = zip(*map(self.memo.__getitem__, self.chunks_of(text)), strict=True)
+        return ",".join(ids), "".join(surfaces)[1:]
+
+
+class _Memo(dict):
+    """Entries of short chunks in two halves: what is in use comes over from the older half as it is met again."""
+
+    def __init__(self, entry):
+        super().__init__()
+        self.entry, self.older = entry, {}
+
+    def __missing__(self, chunk: str) -> tuple[str, str]:
+        out = self.older.get(chunk)
+        if out is None:
+            out = self.entry(chunk)
+            if len(chunk) > MEMO_CHARS:
+                return out
+        if len(self) >= MEMO:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = out
+        return out
 
 
 def _characters(raw: bytes) -> str:
