@@ -238,7 +238,7 @@ def _common(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarra
     code = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
     a = len(left)
     total = np.zeros((a, a if right is None else len(right)), np.float64)
-    width = max(256, 20_000_000 // max(1, len(every)))
+    width = max(256, 4_000_000 // max(1, len(every)))
     for begin in range(0, len(starts) - 1, width):
         lo, hi = starts[begin], starts[min(begin + width, len(starts) - 1)]
         x = np.zeros((len(every), min(width, len(starts) - 1 - begin)), np.float32)

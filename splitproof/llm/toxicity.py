@@ -35,7 +35,7 @@ WORD = re.compile(r"\w+")
 SLOTS = 1 << 20
 CATEGORIES = ("toxic", "repeated", "dense")
 FOLDS = 5
-MEMO = 100_000
+MEMO = 60_000
 _memo: dict[str, tuple[int, ...]] = {}
 
 
