@@ -123,6 +123,7 @@ def near_documents(
                 size.append(len(s))
                 sig.append(signer.sign(s).tobytes() if len(s) else None)
             yield pd.DataFrame({"id": pdf["id"], "h1": h1, "h2": h2, "size": size, "sig": sig})
+        _memo.clear()  # the worker lives on for other operators
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), "text")
     sketches = stage(texts.select(F.col("id").cast("string"), "text")  # as text: pandas has no whole numbers with nulls

@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 SPACE = "▁"
-MEMO = 120_000  # chunks in each half of what a Python worker keeps
+MEMO = 90_000  # chunks in each half of what a Python worker keeps
 MEMO_CHARS = 40  # of a chunk that is kept
-PAIRS = 1_000_000  # pair tests kept by a Python worker
+PAIRS = 400_000  # pair tests kept by a Python worker
 FAR = 1 << 60
 
 
@@ -105,10 +105,12 @@ class PieceTable:
         order = sorted((i for i in piece_id.values() if len(pieces[i]) > 1), key=lambda i: -sp.get_score(i))
         rank = {pieces[i]: r for r, i in enumerate(order)}
         left, right, spanned = {}, {}, set()
+        kept: dict = {p: p for p in piece_id}  # strings and pairs that many spines share are held once
+        share = lambda spine: tuple(kept.setdefault(e, e) for e in ((kept.setdefault(p, p), due) for p, due in spine))
         for p, i in piece_id.items():
             trees = _spines(p, rank)
             if trees is not None:
-                left[i], right[i] = trees
+                left[i], right[i] = map(share, trees)
             if len(p) > 1:
                 spanned.update(p)
         inner = any(SPACE in p.lstrip(SPACE) for p in piece_id)
@@ -303,7 +305,7 @@ def _spines(piece: str, rank: dict[str, int]):
 
 
 def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """id, n_tokens, ids_sha256, decoded_sha256 of each text; with_ids adds ids (array) and decoded (string).
+    """id, n_tokens, ids_sha256, decoded_sha256 of each text; with_ids adds ids (array).
 
     The table is built on the driver and broadcast: its size is the vocabulary's, whatever the input.
     """
@@ -312,7 +314,7 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_i
     shared = spark.sparkContext.broadcast(PieceTable.load(model_path))
     schema = "id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
-        schema += ", ids array<int>, decoded string"
+        schema += ", ids array<int>"
 
     def run(batches):
         table = shared.value
@@ -324,8 +326,8 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_i
             for text in pdf["text"]:
                 ids, decoded = table.round_trip(text)
                 row = (ids.count(",") + 1 if ids else 0, digest(ids), digest(decoded))
-                rows.append((*row, np.fromstring(ids, np.int32, sep=","), decoded) if with_ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_ids else 3]
+                rows.append((*row, np.fromstring(ids, np.int32, sep=",")) if with_ids else row)
+            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 if with_ids else 3]
             out = pd.DataFrame(rows, columns=names)
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -200,6 +201,7 @@ def score(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) -> Data
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             out.insert(1, "toxic", (p[:, 0] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
             yield out
+        _memo.clear()  # the worker lives on for other operators
 
     schema = "doc_id string, toxic boolean, " + ", ".join(f"{n} double" for n in names)
     rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema)  # as text: pandas has no whole numbers with nulls
@@ -212,13 +214,14 @@ def drop_toxic(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) ->
 
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def flagged(texts: pd.Series) -> pd.Series:
-        rows = [features(t) for t in texts]
-        p = shared.value.predict(rows)
-        return pd.Series((p[:, 0] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
+    def flagged(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            rows = [features(t) for t in texts]
+            p = shared.value.predict(rows)
+            yield pd.Series((p[:, 0] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
+        _memo.clear()  # the worker lives on for other operators
 
-    return docs.where(~flagged("text"))
+    return docs.where(~F.pandas_udf(flagged, "boolean")("text"))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
