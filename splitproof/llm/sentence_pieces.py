@@ -12,7 +12,8 @@ walk up the right side of the first token's merge tree and the left side of the
 
 The model's normalisation must be the identity with a dummy prefix (checked when the table is built). Characters
 without a piece become their UTF-8 bytes' pieces. Texts are encoded in chunks cut where no piece can span; the
-results of short chunks are kept in a bounded memo in each Python worker.
+results of short chunks are kept in a bounded memo in each Python worker. The short chunks of a block of texts that
+the memo doesn't hold fill their tables together, position by position, in numpy.
 
 Defined cases: a null text is encoded as the empty text: no ids. Repeated rows are each encoded. Further columns
 are ignored.
@@ -23,7 +24,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -36,7 +39,9 @@ from .common import small_batches
 SPACE = "▁"
 MEMO = 120_000  # chunks in each half of what a Python worker keeps
 MEMO_CHARS = 40  # of a chunk that is kept
-PAIRS = 1_000_000  # pair tests kept by a Python worker
+PAIR_BITS = 22  # slots for pair tests kept by a Python worker, as a power of two; a later pair takes over its slot
+BLOCK_TEXTS, BLOCK_CHARS = 256, 1 << 19  # of the texts that are encoded together; a longer text goes alone
+TABLE_CHUNKS = 1 << 14  # chunks whose tables are filled together
 FAR = 1 << 60
 
 
@@ -72,6 +77,95 @@ def merge_by_rank(symbols: list[str], rank: dict[str, int]) -> list[tuple[str, i
     return [(text[i], made[i]) for i in range(n) if alive[i]]
 
 
+class States:
+    """The vocabulary's automaton in arrays, so that many texts take a step at once.
+
+    ``ends``: of a state, the state of the longest token that ends there (0: none); ``shorter``: of a token's state, that
+    of the next shorter one; ``token``: its id.
+    """
+
+    SLOTS = 20  # of the table of children, as a power of two
+
+    def __init__(self, pieces: list[str], ids: list[int]):
+        letters = sorted(set("".join(pieces[i] for i in ids)))
+        number = {c: k for k, c in enumerate(letters, 1)}
+        self.code = np.zeros(0x110000, np.int32)  # 0: in no token
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        child: dict[int, int] = {}
+        parent, letter, depth, token = [0], [0], [0], [-1]
+        for i in ids:
+            at = 0
+            for c in pieces[i]:
+                key = at * self.width + number[c]
+                to = child.get(key)
+                if to is None:
+                    to = child[key] = len(token)
+                    parent.append(at)
+                    letter.append(number[c])
+                    depth.append(depth[at] + 1)
+                    token.append(-1)
+                at = to
+            token[at] = i
+        n = len(token)
+        fail, ends, shorter = [0] * n, [0] * n, [0] * n
+        for at in sorted(range(1, n), key=depth.__getitem__):
+            back = parent[at]
+            while back:
+                back = fail[back]
+                to = child.get(back * self.width + letter[at])
+                if to is not None:
+                    fail[at] = to
+                    break
+            shorter[at] = ends[fail[at]]
+            ends[at] = at if token[at] >= 0 else shorter[at]
+        self.token, self.fail, self.ends, self.shorter = (np.array(x, np.int64) for x in (token, fail, ends, shorter))
+        self.first = np.zeros(self.width, np.int64)  # children of the start
+        for k in range(1, self.width):
+            self.first[k] = child.get(k, 0)
+        keys = np.fromiter(child, np.int64, len(child))
+        to = np.fromiter(child.values(), np.int64, len(child))
+        self.keys, self.to = np.full(1 << self.SLOTS, -1, np.int64), np.zeros(1 << self.SLOTS, np.int32)
+        slot = self._slot(keys)
+        while len(keys):  # a key whose slot is taken goes to the next
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]
+            mine = self.keys[slot] == keys
+            self.to[slot[mine]] = to[mine]
+            keys, to, slot = keys[~mine], to[~mine], (slot[~mine] + 1) & ((1 << self.SLOTS) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.SLOTS)).view(np.int64)
+
+    def child(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The state that a character leads on to, 0 if there is none."""
+        key = state * self.width + code
+        slot = self._slot(key)
+        held = self.keys[slot]
+        out = np.where(held == key, self.to[slot], 0)
+        rest = np.flatnonzero((held != key) & (held >= 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & ((1 << self.SLOTS) - 1)
+            held = self.keys[slot[rest]]
+            hit = held == key[rest]
+            out[rest[hit]] = self.to[slot[rest[hit]]]
+            rest = rest[~hit & (held >= 0)]
+        return out
+
+    def advance(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        out = self.first[code]
+        at = np.flatnonzero(state)
+        now = state[at]
+        while len(at):
+            to = self.child(now, code[at])
+            hit = to > 0
+            out[at[hit]] = to[hit]
+            now = self.fail[now[~hit]]
+            at = at[~hit][now > 0]
+            now = now[now > 0]
+        return out
+
+
 @dataclass
 class PieceTable:
     """What an executor needs of a model; independent of the library."""
@@ -84,7 +178,6 @@ class PieceTable:
     right_spine: dict[int, tuple[tuple[str, int], ...]]
     chunks: str  # pattern of the chunks that are encoded on their own
     automaton: object = None
-    pairs: dict[int, bool] = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str) -> PieceTable:
@@ -122,64 +215,71 @@ class PieceTable:
         """Build the automaton; it is not sent with the table."""
         a = ahocorasick.Automaton()
         for i in self.left_spine:
-            a.add_word(self.pieces[i], (i, len(self.pieces[i])))
+            a.add_word(self.pieces[i], i)
         a.make_automaton()
         self.automaton = a
         self.lengths = [len(p) for p in self.pieces]
-        self.names = [str(i) for i in range(len(self.pieces))]
-        self.shown = [p.replace(SPACE, " ") for p in self.pieces]
-        for i in self.bytes_id:
-            self.shown[i] = None
+        self.length = np.array(self.lengths)
+        self.names = np.array([str(i) for i in range(len(self.pieces))], object)
+        self.shown = np.array([p.replace(SPACE, " ") for p in self.pieces], object)
         self.bits = len(self.pieces).bit_length()
-        self.memo = _Memo(self.chunk_entry)
+        self.pair_key = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.pair_fits = np.zeros(1 << PAIR_BITS, bool)
+        self.memo = _Memo(self)
         self.split = re.compile(self.chunks).findall
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the texts of two tokens, put together, encode to these two tokens."""
-        key = a << self.bits | b
-        known = self.pairs.get(key)
-        if known is not None:
-            return known
         up, down, i, j, rank = self.right_spine[a], self.left_spine[b], 0, 0, self.rank
         while True:
             x, grow_x = up[i]
             y, grow_y = down[j]
             across = rank.get(x + y, FAR)
             if across < FAR and across < grow_x and across <= grow_y:
-                out = False
-                break
+                return False
             if grow_x == FAR and grow_y == FAR:
-                out = True
-                break
+                return True
             if grow_x <= grow_y:
                 i += 1
             else:
                 j += 1
-        if len(self.pairs) >= PAIRS:
-            self.pairs.clear()
-        self.pairs[key] = out
+
+    def all_compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """compatible() of each pair, by the tests kept where they are."""
+        key = a << self.bits | b
+        slot = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        out = self.pair_fits[slot]
+        new = np.flatnonzero(self.pair_key[slot] != key)
+        if len(new):
+            keys, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            first = new[first]
+            fits = np.fromiter(map(self.compatible, a[first].tolist(), b[first].tolist()), bool, len(keys))
+            out[new] = fits[back]
+            # two keys of one slot: both arrays are set in the same order, so the last one holds in both
+            self.pair_key[slot[first]], self.pair_fits[slot[first]] = keys, fits
         return out
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of one chunk: fill the table of last tokens, then walk it backwards."""
         n = len(chunk)
         last = [-1] * (n + 1)  # last token of the prefix that ends here; -1 at the start and after a character without a piece
-        whole = self.piece_id.get(chunk)
-        if whole is not None and whole in self.left_spine:
-            return [whole]
-        known, compatible, bits = self.pairs.get, self.compatible, self.bits
-        for end, (token, length) in self.automaton.iter(chunk):
+        tests: dict[tuple[int, int], bool] = {}
+        lengths = self.lengths
+        for end, token in self.automaton.iter(chunk):
             end += 1
             if last[end] >= 0:
                 continue
-            before = last[end - length]
+            before = last[end - lengths[token]]
             if before >= 0:
-                fits = known(before << bits | token)
-                if not (compatible(before, token) if fits is None else fits):
+                fits = tests.get((before, token))
+                if fits is None:
+                    fits = self.compatible(before, token)
+                    if len(tests) < TABLE_CHUNKS:
+                        tests[before, token] = fits
+                if not fits:
                     continue
             last[end] = token
         ids: list[int] = []
-        lengths = self.lengths
         while n > 0:
             token = last[n]
             if token < 0:
@@ -191,6 +291,55 @@ class PieceTable:
         ids.reverse()
         return ids
 
+    @cached_property
+    def states(self) -> States:
+        return States(self.pieces, list(self.left_spine))
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all chunks, how many each has, whether it has a character without a piece: its ids don't count).
+
+        The same tables as encode_chunk()'s, filled for all chunks at once: first the prefixes of one character, then of
+        two, and so on; of the tokens that end at a place the longest is tested first.
+        """
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(-size, kind="stable")  # so that those with a character at a place come first
+        size = size[order]
+        auto, width = self.states, int(size[0])
+        text = np.frombuffer("".join([chunks[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")
+        codes = np.zeros((len(chunks), width), np.int64)
+        codes[np.arange(width) < size[:, None]] = auto.code[text]
+        codes = np.ascontiguousarray(codes.T)
+        last = np.full((width + 1, len(chunks)), -1, np.int64)
+        state = np.zeros(len(chunks), np.int64)
+        for p, n in enumerate(np.searchsorted(-size, -np.arange(width), "left").tolist()):
+            state = auto.advance(state[:n], codes[p, :n])
+            node = auto.ends[state]
+            at = np.flatnonzero(node)
+            node = node[at]
+            while len(at):
+                t = auto.token[node]
+                before = last[p + 1 - self.length[t], at]
+                fits = before < 0
+                tested = np.flatnonzero(~fits)
+                fits[tested] = self.all_compatible(before[tested], t[tested])
+                last[p + 1, at[fits]] = t[fits]
+                node = auto.shorter[node]
+                go = ~fits & (node > 0)
+                at, node = at[go], node[go]
+        place, live = size.copy(), np.flatnonzero(size)
+        odd = np.zeros(len(chunks), bool)
+        owners, tokens = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while len(live):
+            t = last[place[live], live]
+            odd[order[live[t < 0]]] = True
+            live, t = live[t >= 0], t[t >= 0]
+            owners.append(order[live])
+            tokens.append(t)
+            place[live] -= self.length[t]
+            live = live[place[live] > 0]
+        owner, ids = np.concatenate(owners)[::-1], np.concatenate(tokens)[::-1]
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(chunks)), odd
+
     def chunks_of(self, text: str) -> list[str]:
         return self.split(SPACE + text.replace(" ", SPACE)) if text else []
 
@@ -217,42 +366,78 @@ class PieceTable:
         text = "".join(parts).replace(SPACE, " ")
         return text + _characters(bytes(raw)) if raw else text
 
-    def chunk_entry(self, chunk: str) -> tuple[str, str]:
+    def entry(self, chunk: str) -> tuple[str, str]:
         """Ids of a chunk, comma-joined, and its decoded surface."""
         ids = self.encode_chunk(chunk)
-        names, shown = self.names, self.shown
-        try:
-            surface = "".join([shown[i] for i in ids])
-        except TypeError:  # byte pieces have no text of their own
-            surface = self._surface(ids)
-        return ",".join([names[i] for i in ids]), surface
+        return ",".join(map(str, ids)), self._surface(ids)
+
+    def entries(self, chunks: list[str]) -> list[tuple[str, str]]:
+        """entry() of many short chunks."""
+        ids, counts, odd = self.encode_chunks(chunks)
+        names, shown = self.names[ids].tolist(), self.shown[ids].tolist()
+        ends = np.cumsum(counts)
+        out = [
+            (",".join(names[a:b]), "".join(shown[a:b])) for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True)
+        ]
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self.entry(chunks[i])
+        return out
+
+    def round_trips(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """(comma-joined ids, decoded text) of each whole text."""
+        cut = [self.chunks_of(t or "") for t in texts]
+        self.memo.learn(set(chain.from_iterable(cut)))
+        out = []
+        for chunks in cut:
+            if chunks:
+                ids, surfaces = zip(*map(self.memo.__getitem__, chunks), strict=True)
+                out.append((",".join(ids), "".join(surfaces)[1:]))
+            else:
+                out.append(("", ""))
+        return out
 
     def round_trip(self, text: str | None) -> tuple[str, str]:
-        """(comma-joined ids, decoded text) of a whole text."""
-        if not text:
-            return "", ""
-        ids, surfaces = zip(*map(self.memo.__getitem__, self.chunks_of(text)), strict=True)
-        return ",".join(ids), "".join(surfaces)[1:]
+        return self.round_trips([text])[0]
 
 
 class _Memo(dict):
-    """Entries of short chunks in two halves: what is in use comes over from the older half as it is met again."""
+    """Entries of chunks in two halves: what is in use comes over from the older half as it is met again."""
 
-    def __init__(self, entry):
+    def __init__(self, table: PieceTable):
         super().__init__()
-        self.entry, self.older = entry, {}
+        self.table, self.older = table, {}
 
-    def __missing__(self, chunk: str) -> tuple[str, str]:
-        out = self.older.get(chunk)
-        if out is None:
-            out = self.entry(chunk)
-            if len(chunk) > MEMO_CHARS:
-                return out
+    def learn(self, chunks: set[str]) -> None:
+        """Have the entries of short chunks at hand."""
         if len(self) >= MEMO:
             self.older = dict(self)
             self.clear()
-        self[chunk] = out
-        return out
+        new = []
+        for c in [c for c in chunks if c not in self]:
+            known = self.older.get(c)
+            if known is not None:
+                self[c] = known
+            elif len(c) <= MEMO_CHARS:
+                new.append(c)
+        for i in range(0, len(new), TABLE_CHUNKS):
+            some = new[i : i + TABLE_CHUNKS]
+            self.update(zip(some, self.table.entries(some), strict=True))
+
+    def __missing__(self, chunk: str) -> tuple[str, str]:
+        return self.table.entry(chunk)  # a long one, which isn't kept
+
+
+def _blocks(texts: list[str | None]):
+    """Slices of texts that are encoded together."""
+    begin = chars = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > begin and (i - begin >= BLOCK_TEXTS or chars + n > BLOCK_CHARS):
+            yield begin, i
+            begin, chars = i, 0
+        chars += n
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def _characters(raw: bytes) -> str:
@@ -321,16 +506,17 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_i
         if table.automaton is None:
             table.prepare()
         digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        for pdf in (b.iloc[i : i + 256] for b in batches for i in range(0, len(b), 256)):
-            rows: list[tuple] = []
-            for text in pdf["text"]:
-                ids, decoded = table.round_trip(text)
-                row = (ids.count(",") + 1 if ids else 0, digest(ids), digest(decoded))
-                rows.append((*row, np.fromstring(ids, np.int32, sep=",")) if with_ids else row)
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 if with_ids else 3]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "id", pdf["id"].to_numpy())
-            yield out
+        names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 if with_ids else 3]
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for begin, end in _blocks(texts):
+                rows: list[tuple] = []
+                for ids, decoded in table.round_trips(texts[begin:end]):
+                    row = (ids.count(",") + 1 if ids else 0, digest(ids), digest(decoded))
+                    rows.append((*row, np.fromstring(ids, np.int32, sep=",")) if with_ids else row)
+                out = pd.DataFrame(rows, columns=names)
+                out.insert(0, "id", pdf["id"].to_numpy()[begin:end])
+                yield out
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), "text")  # as text: pandas has no whole numbers with nulls
     out = rows.mapInPandas(run, schema)

@@ -413,6 +413,22 @@ def test_sentence_pieces_equal_the_library(spark):
     assert table.decode(bytes_) == sp.decode(bytes_)
 
 
+def test_sentence_pieces_blocks_equal_single_chunks():
+    table = sentence_pieces.PieceTable.load(sentence_pieces.default_model())
+    table.prepare()
+    rng = np.random.default_rng(8)
+    letters = list("aaeeinrstth▁é.中\x00🙂")
+    chunks = ["".join(rng.choice(letters, rng.integers(1, 60))) for _ in range(2_000)]
+    ids, counts, odd = table.encode_chunks(chunks)
+    ends = np.cumsum(counts)
+    for chunk, end, n, skip in zip(chunks, ends, counts, odd, strict=True):
+        assert skip == ("\x00" in chunk)  # without a piece
+        if not skip:
+            assert ids[end - n : end].tolist() == table.encode_chunk(chunk)
+    texts = [None, "", "a" * 50_000, *chunks]
+    assert table.round_trips(texts) == [table.round_trip(t) for t in texts]
+
+
 def test_sentence_pieces_odd(spark):
     rows = sentence_pieces.round_trips(odd_docs(spark), sentence_pieces.default_model(), with_ids=True).collect()
     empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
