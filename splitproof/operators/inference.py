@@ -1,7 +1,7 @@
 """Resampling inference. Draws are a dimension of a join, never a loop: items are first summed to their groups.
 
-mode "hash" indexes draws by an MD5 of (draw, position), the same in any SQL engine. numpy_bootstrap runs a
-generator stream instead, dealt over tasks by draw.
+mode "hash" indexes draws by an MD5 of (draw, position), the same in any SQL engine. numpy_bootstrap and
+permuted_strata run a generator stream instead, dealt over tasks by draw.
 """
 
 from __future__ import annotations
@@ -72,6 +72,27 @@ def permuted_means(items: DataFrame, permutations: int, seed: str) -> DataFrame:
     )
 
 
+def permuted_strata(items: DataFrame, permutations: int, seed: int = 0, chunk: int = 100) -> DataFrame:
+    """(perm, a, b) as permuted_means, with numpy's generator, drawn from the number of items of each error.
+
+    Items of equal error are alike, so a permutation is a hypergeometric draw of the stratum from these counts (one row
+    for each distinct error, whatever the number of items; numpy takes under 10^9 items and raises beyond).
+    """
+    rows = items.groupBy("err").agg(F.count("*").alias("n"), F.count_if("inside").alias("k")).orderBy("err").toPandas()
+    err, n = rows["err"].to_numpy(float), rows["n"].to_numpy(np.int64)
+    size, rest = int(rows["k"].sum()), int(n.sum() - rows["k"].sum())
+
+    def run(batches):
+        for pdf in batches:
+            for first in pdf["id"]:
+                rng = np.random.default_rng([seed, int(first)])
+                picked = rng.multivariate_hypergeometric(n, size, min(chunk, permutations - int(first)))
+                yield pd.DataFrame({"perm": np.arange(first, first + len(picked)), "x": picked @ err, "y": (n - picked) @ err})
+
+    sums = items.sparkSession.range(0, permutations, chunk).mapInPandas(run, "perm long, x double, y double")
+    return sums.select("perm", F.try_divide("x", F.lit(float(size))).alias("a"), F.try_divide("y", F.lit(float(rest))).alias("b"))
+
+
 def observed_means(items: DataFrame) -> DataFrame:
     return items.agg(F.avg(F.when(F.col("inside"), F.col("err"))).alias("oa"), F.avg(F.when(~F.col("inside"), F.col("err"))).alias("ob"))
 

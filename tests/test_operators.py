@@ -1,6 +1,7 @@
 """Operators against golden figures, brute force and invariants."""
 
 import datetime
+import itertools
 import math
 import random
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from splitproof.functions import scalar, special
 from splitproof.operators import checks, cluster, dedup, inference, metrics, partition, similarity
+from splitproof.plans import evaluation
 from splitproof.sources import readers, sinks
 from splitproof.streaming import monitor
 
@@ -129,6 +131,32 @@ def test_numpy_bootstrap_is_reproducible(spark):
     assert (a == b).all() and len(a) == 300 and a.mean() == pytest.approx(0.595, abs=0.02)
 
 
+def test_permuted_strata_equals_all_permutations(spark):
+    err, inside = [0.0, 0.0, 1 / 3, 2 / 3, 1.0, 0.0, 1 / 3, 1.0], [True, False, False, True, True, False, False, False]
+    items = spark.createDataFrame(list(zip(range(8), err, inside, strict=True)), "item_id int, err double, inside boolean")
+    gap = lambda rows: sum(err[i] for i in rows) / 3 - sum(err[i] for i in set(range(8)) - set(rows)) / 5
+    seen, every = gap((0, 3, 4)), [gap(c) for c in itertools.combinations(range(8), 3)]
+    exact = sum(abs(g) >= abs(seen) - 1e-12 for g in every) / len(every)
+    got = inference.permutation_p(
+        inference.permuted_strata(items, 10_000), inference.observed_means(items), lambda a, b: a - b, lambda v, o: F.abs(v) >= F.abs(o) - 1e-12
+    ).first()
+    assert got["observed"] == pytest.approx(seen, abs=1e-6) and got["p"] == pytest.approx(exact, abs=0.02)
+    none = inference.permuted_strata(items.where("not inside"), 10).agg(F.count("a").alias("a"), F.count("b").alias("b")).first()
+    assert (none["a"], none["b"]) == (0, 10)
+
+
+def test_permutations_take_every_item(spark, tmp_path):
+    rows = [(i, i % 7, "ab"[i % 2]) for i in range(2600)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    strata = evaluation._strata(spark, str(tmp_path)).toPandas()
+    assert len(strata) == 2600
+    e, inside = strata["err"], strata["inside"]
+    got = evaluation.i4(spark, str(tmp_path)).first()
+    assert got["observed"] == pytest.approx(e[inside].mean() - e[~inside].mean(), abs=1e-6)
+    assert abs(got["p"] * 10_001 - round(got["p"] * 10_001)) < 0.01 and 0 < got["p"] <= 1
+    assert evaluation.i5(spark, str(tmp_path)).first()["observed"] == pytest.approx(e[inside].mean() / e[~inside].mean(), abs=1e-6)
+
+
 def test_temperature_recovers_scale(spark):
     rng = np.random.default_rng(0)
     z = rng.normal(size=(3000, 4)) * 2
