@@ -2,8 +2,9 @@
 
 A bounded sample of the vectors is split in halves again and again until the parts have equal size; their means
 are the centroids. Every vector is filed under its nearest centroid and, when it lies near a boundary, under
-further ones. A query walks an in-memory graph over the centroids, keeps the lists whose centroid is within a
-ratio of the nearest one's distance, and is compared with all vectors of these lists.
+further ones. A query walks an in-memory graph over the centroids, keeps all lists whose centroid is within a
+ratio of the nearest one's distance (where the walk's ``beam`` nearest do not reach that far, it compares with every
+centroid instead), and is compared with all vectors of these lists.
 
 Parameters that bound what is held in memory: ``sample`` (vectors the centroids are fitted on) and
 ``max_lists`` (centroids). All vectors are filed and lists may be of any length: they are dealt over tiles.
@@ -83,6 +84,20 @@ class CentroidGraph:
         order = sorted((-d, i) for d, i in best)
         return np.array([i for _, i in order]), np.array([d for d, _ in order])
 
+    def lists(self, query: np.ndarray, sizes: np.ndarray, ratio: float, least: int, rows: int, beam: int) -> np.ndarray:
+        """All lists whose centroid is within ``ratio`` of the nearest one's distance, at least ``least`` lists and
+        ``rows`` filed rows. The walk keeps ``beam`` centroids; if these do not settle it, all are compared."""
+        near, dist = self.nearest(query, min(beam, len(self.points)))
+        for _ in range(2):
+            enough = int(np.searchsorted(np.cumsum(sizes[near]), rows)) + 1
+            take = max(int((dist <= ratio * dist[0]).sum()), least, enough)
+            if take < len(near) or len(near) == len(self.points):
+                break
+            dist = np.sqrt(((self.points - query) ** 2).sum(1))
+            near = np.argsort(dist, kind="stable")
+            dist = dist[near]
+        return near[:take]
+
 
 def balanced_centroids(x: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     """Means of ``lists`` parts of nearly equal size: each split cuts a part at the median between two means."""
@@ -180,11 +195,9 @@ def search(
         for pdf in batches:
             ids, lists, rows_ = [], [], []
             for i, q in enumerate(pdf["packed"].to_numpy()):
-                near, dist = g.nearest(np.frombuffer(q, "<f8"), min(beam, len(g.points)))
-                enough = int(np.searchsorted(np.cumsum(n[near]), (k + 1) * (replicas + 1))) + 1
-                take = max(int((dist <= ratio * dist[0]).sum()), least_lists, enough)
-                lists.append(near[:take])
-                rows_.append(np.full(len(near[:take]), i))
+                near = g.lists(np.frombuffer(q, "<f8"), n, ratio, least_lists, (k + 1) * (replicas + 1), beam)
+                lists.append(near)
+                rows_.append(np.full(len(near), i))
             if lists:
                 at = np.concatenate(rows_)
                 ids = pdf["vec_id"].to_numpy()[at]

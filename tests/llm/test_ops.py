@@ -531,6 +531,31 @@ def test_graph_finds_what_a_scan_finds():
     assert len(sizes) == 16
 
 
+def test_ratio_alone_bounds_the_lists():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(900, 32))
+    graph = ann.CentroidGraph.build(points)
+    full, sparse = np.full(900, 400), np.zeros(900, int)
+    sparse[::300] = 20
+    for q in rng.normal(size=(20, 32)):
+        d = np.sqrt(((points - q) ** 2).sum(1))
+        within = set(np.flatnonzero(d <= 1.5 * d.min()).tolist())
+        assert len(within) > 24 and set(graph.lists(q, full, 1.5, 8, 44, 24).tolist()) == within
+        assert sparse[graph.lists(q, sparse, 1.01, 8, 44, 24)].sum() >= 44
+
+
+def test_search_reaches_past_the_walk(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 32))
+    df = spark.createDataFrame([(i, v.tolist(), 0, 5, "p") for i, v in enumerate(x)], VECTORS)
+    rows = ann.search(df, df.where("vec_id % 60 = 0"), list_size=20, ratio=1.6, beam=8).collect()
+    y, hit = x.astype(np.float32).astype(float), 0
+    for q in range(0, 3000, 60):
+        d = ((y - y[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len({r["vec_id"] for r in rows if r["query_id"] == q} & set(d.argsort()[:10].tolist()))
+    assert hit / 500 >= 0.98
+
+
 # ---- pipeline ------------------------------------------------------------------------------------------------
 
 
