@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from splitproof.functions import scalar, special
 from splitproof.operators import checks, cluster, dedup, inference, metrics, partition, similarity
-from splitproof.plans import evaluation
+from splitproof.plans import evaluation, fixtures
 from splitproof.sources import readers, sinks
 from splitproof.streaming import monitor
 
@@ -105,6 +105,15 @@ def test_checks_raise(spark):
     checks.check_unique(rows, "item_id")
 
 
+def test_content_hash_reads_the_whole_text(spark, tmp_path):
+    opening = "The same opening words. " * 20
+    texts = [opening + "one body", opening + "another body", opening.upper() + "-- One Body!"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    by = {r["item_id"]: r["content_hash"] for r in fixtures.items(spark, str(tmp_path)).collect()}
+    assert by[0] == by[2] != by[1]
+
+
 def test_removal_reasons_order(spark):
     rows = [(1, "Training", "a"), (2, "Training", "a"), (3, "Testing", "a"), (4, "Testing", "b"), (5, "Testing", "b"), (6, "Testing", "c")]
     items = spark.createDataFrame(rows, "item_id long, split string, content_hash string")
