@@ -6,7 +6,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -306,12 +306,15 @@ def s6(spark, d):
 
 @query("S7_history", "SELECT event_type AS run, e.i::INT AS epoch, round(e.v, 6) AS val_loss FROM (SELECT event_type, list(value ORDER BY event_id) AS vs FROM events WHERE event_id < 200 GROUP BY 1), LATERAL (SELECT unnest(vs) AS v, unnest(range(len(vs))) AS i) e")
 def s7(spark, d):
-    """Histories as JSON with arrays by epoch, exploded to rows. The events with the first ids serve as epochs."""
-    e = spark.read.parquet(f"{d}/events.parquet").where("event_id < 200")
+    """Histories as JSON with arrays by epoch, exploded to rows. All events of a run in the order of their ids serve as
+    epochs. A history is written in pieces of 10,000 ids, so that no array grows with the table."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("name"), F.expr("event_id div 10000").alias("piece"), "event_id", "value")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"])
-    js = e.groupBy(F.col("event_type").alias("run")).agg(ordered.alias("val_loss"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("name").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = e.groupBy("name", "piece").agg(F.count("*").alias("n")).select(F.col("name").alias("n1"), F.col("piece").alias("p1"), before.alias("first"))
+    js = e.groupBy("name", "piece").agg(ordered.alias("val_loss")).join(first, F.col("name").eqNullSafe(F.col("n1")) & F.col("piece").eqNullSafe(F.col("p1"))).withColumn("run", F.struct("name", "first"))
     js = js.select("run", F.to_json(F.struct(F.col("val_loss").alias("train_loss"), F.col("val_loss").alias("train_acc"), "val_loss", F.col("val_loss").alias("val_acc"))).alias("value"))
-    return readers.history(js).select("run", "epoch", F.round("val_loss", 6).alias("val_loss"))
+    return readers.history(js).select(F.col("run.name").alias("run"), (F.col("run.first") + F.col("epoch")).cast("int").alias("epoch"), F.round("val_loss", 6).alias("val_loss"))
 
 
 @query("S8_manifest", f"WITH {ITEMS}, r AS (SELECT item_id, row_number() OVER (PARTITION BY split, content_hash ORDER BY item_id) AS r FROM items) SELECT 'data/' || item_id AS path, 'duplicate within split' AS reason FROM r WHERE r > 1")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from splitproof.functions import scalar, special
 from splitproof.operators import checks, cluster, dedup, inference, metrics, partition, similarity
-from splitproof.plans import evaluation, fixtures
+from splitproof.plans import evaluation, fixtures, scalars
 from splitproof.sources import readers, sinks
 from splitproof.streaming import monitor
 
@@ -166,6 +166,15 @@ def test_permutations_take_every_item(spark, tmp_path):
     assert evaluation.i5(spark, str(tmp_path)).first()["observed"] == pytest.approx(e[inside].mean() / e[~inside].mean(), abs=1e-6)
 
 
+def test_history_takes_every_event(spark, tmp_path):
+    ids = [*range(0, 300, 3), *range(9_990, 10_010), 25_000, 25_001]
+    rows = [(i, None if i % 5 == 4 else "ab"[i % 2], i / 8) for i in reversed(ids)]
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = [(run, n, v) for run in (None, "a", "b") for n, (_, v) in enumerate(sorted((i, v) for i, r, v in rows if r == run))]
+    got = [tuple(r) for r in scalars.s7(spark, str(tmp_path)).select("run", "epoch", "val_loss").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
+
+
 def test_temperature_recovers_scale(spark):
     rng = np.random.default_rng(0)
     z = rng.normal(size=(3000, 4)) * 2
