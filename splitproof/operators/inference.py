@@ -19,7 +19,8 @@ def group_sums(preds: DataFrame, group: str = "group_id") -> DataFrame:
 
 
 def hash_draws(spark, draws: int, groups: int) -> DataFrame:
-    """(draw, g): ``groups`` groups drawn with replacement in each draw."""
+    """(draw, g): ``groups`` groups drawn with replacement in each draw. Spark takes this for a small table: the sums
+    (one row a group) are the side to broadcast."""
     key = F.concat(F.col("draw").cast("string"), F.lit(":"), F.col("pos").cast("string"))
     index = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % F.lit(groups)
     grid = spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("pos"))
@@ -36,13 +37,13 @@ def cluster_bootstrap(sums: DataFrame, draws: int) -> DataFrame:
     """(draw, value): accuracy of each resample of groups. ``sums``: g, k, n."""
     spark = sums.sparkSession
     drawn = hash_draws(spark, draws, sums.count())
-    return drawn.join(sums, "g").groupBy("draw").agg((F.sum("k") / F.sum("n")).alias("value"))
+    return drawn.join(F.broadcast(sums), "g").groupBy("draw").agg((F.sum("k") / F.sum("n")).alias("value"))
 
 
 def paired_bootstrap(sums: DataFrame, draws: int) -> DataFrame:
     """(draw, value): difference of two accuracies over the same resampled groups. ``sums``: g, ka, kb, n."""
     drawn = hash_draws(sums.sparkSession, draws, sums.count())
-    return drawn.join(sums, "g").groupBy("draw").agg(((F.sum("ka") - F.sum("kb")) / F.sum("n")).alias("value"))
+    return drawn.join(F.broadcast(sums), "g").groupBy("draw").agg(((F.sum("ka") - F.sum("kb")) / F.sum("n")).alias("value"))
 
 
 def numpy_bootstrap(sums: DataFrame, draws: int, seed: int = 0, chunk: int = 500) -> DataFrame:

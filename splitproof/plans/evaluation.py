@@ -231,7 +231,8 @@ def w5(spark, d):
 
 # ---- inference ---------------------------------------------------------------------------------------------
 
-DRAWS = 200
+DRAWS = 200  # of the SQL; the queries take RESAMPLES
+RESAMPLES = 10_000
 
 
 def _boot_sql(sums: str, value: str) -> str:
@@ -245,13 +246,13 @@ _CI = "SELECT round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(v
 
 @query("I1_cluster_bootstrap", f"WITH {PREDS}, {_boot_sql(_SM.format(w=chr(39).join(['arm = ', 'patient', ' AND seed = 42'])), 'sum(k) / sum(n)')} {_CI}")
 def i1(spark, d):
-    return I.interval(I.cluster_bootstrap(I.group_sums(_model(spark, d)), DRAWS), "value")
+    return I.interval(I.cluster_bootstrap(I.group_sums(_model(spark, d)), RESAMPLES), "value")
 
 
 @query("I2_pooled_bootstrap", f"WITH {PREDS}, {_boot_sql(_SM.format(w=chr(39).join(['arm = ', 'patient', ''])), 'sum(k) / sum(n)')} {_CI}")
 def i2(spark, d):
     """All seeds of a group travel together: their sums are taken before the draw."""
-    return I.interval(I.cluster_bootstrap(I.group_sums(predictions(spark, d).where("arm = 'patient'")), DRAWS), "value")
+    return I.interval(I.cluster_bootstrap(I.group_sums(predictions(spark, d).where("arm = 'patient'")), RESAMPLES), "value")
 
 
 _PAIRED = "sm AS (SELECT row_number() OVER (ORDER BY group_id) - 1 AS g, ka, kb, n FROM (SELECT group_id, sum(correct) FILTER (arm = 'random') AS ka, sum(correct) FILTER (arm = 'patient') AS kb, count(*) FILTER (arm = 'random') AS n FROM preds GROUP BY 1))"
@@ -264,7 +265,7 @@ def i3(spark, d):
     side = lambda arm: F.sum(F.when(F.col("arm") == arm, F.col("correct"))).cast("long")
     s = predictions(spark, d).groupBy("group_id").agg(side("random").alias("ka"), side("patient").alias("kb"), F.count_if(F.col("arm") == "random").alias("n"))
     s = s.withColumn("g", F.row_number().over(Window.orderBy("group_id")) - 1).drop("group_id")
-    draws = I.paired_bootstrap(s, DRAWS)
+    draws = I.paired_bootstrap(s, RESAMPLES)
     p = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
     out = draws.agg(p.alias("p"), F.round(F.avg((F.col("value") <= 0).cast("int")), 6).alias("p_not_above"))
     return out.select(F.round(F.col("p")[0], 6).alias("lo"), F.round(F.col("p")[1], 6).alias("hi"), "p_not_above")

@@ -1,6 +1,7 @@
 """Operators against golden figures, brute force and invariants."""
 
 import datetime
+import hashlib
 import itertools
 import math
 import random
@@ -175,6 +176,26 @@ def test_history_takes_every_event(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str) and len(got) == len(rows)
 
 
+def test_bootstrap_queries_take_10000_draws(spark, tmp_path):
+    rows = [(i, i * i % 9, "ab"[i % 2]) for i in range(90)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    p = fixtures.predictions(spark, str(tmp_path)).toPandas()
+    groups = sorted(p["group_id"].unique())
+    index = np.array([[int(hashlib.md5(f"{b}:{i}".encode()).hexdigest()[:8], 16) % len(groups) for i in range(len(groups))] for b in range(10_000)])
+    total = lambda rows, of: rows.groupby("group_id")[of].sum().reindex(groups).to_numpy()
+    p["one"] = 1
+    pat, rand = p[p["arm"] == "patient"], p[p["arm"] == "random"]
+    model = pat[pat["seed"] == 42]
+    ratio = lambda k, n: k[index].sum(1) / n[index].sum(1)
+    ends = lambda v: pytest.approx(np.percentile(v, [2.5, 97.5]).tolist(), abs=1e-6)
+    d = str(tmp_path)
+    assert list(evaluation.i1(spark, d).first()) == ends(ratio(total(model, "correct"), total(model, "one")))
+    assert list(evaluation.i2(spark, d).first()) == ends(ratio(total(pat, "correct"), total(pat, "one")))
+    diff = ratio(total(rand, "correct") - total(pat, "correct"), total(rand, "one"))
+    lo, hi, p_not_above = evaluation.i3(spark, d).first()
+    assert [lo, hi] == ends(diff) and p_not_above == pytest.approx((diff <= 0).mean(), abs=1e-6)
+
+
 def test_temperature_recovers_scale(spark):
     rng = np.random.default_rng(0)
     z = rng.normal(size=(3000, 4)) * 2
