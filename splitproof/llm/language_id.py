@@ -4,8 +4,9 @@ A word that the model knows is scored by its log frequency in each language. An
 character n-grams, from the longest size down: the first size of which the model knows any n-gram decides.
 A document's score in a language is the mean over its words; the highest wins.
 
-The model is fitted on the word counts of a bounded sample of labelled documents (``max_docs``, drawn by a hash
-of the id, whole texts) and holds at most ``max_words`` words and ``max_grams`` n-grams of each size, so that its
+The model is fitted on the word counts of a bounded sample of labelled documents (``max_docs``, an equal share of
+each language drawn by a hash of the id, whole texts), on the most frequent words of each language (4 * ``max_words``
+in all, a word counting at most 50 times for its n-grams), and holds at most ``max_words`` words and ``max_grams`` n-grams of each size, so that its
 broadcast is bounded at every input size. All documents are predicted, over their whole texts.
 
 Defined cases: a null text or one without a letter gives ``und`` and score 0; so does every document when there
@@ -22,10 +23,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_draw, small_batches
+from .common import small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 SIZES = (5, 4, 3, 2, 1)
@@ -95,6 +96,29 @@ def _table(counts: dict[str, np.ndarray], totals: np.ndarray, keep: int) -> dict
     return {k: tuple(row) for (k, _), row in zip(ranked, logs.tolist(), strict=True)}
 
 
+def equal_share(counts: list[int], limit: int) -> int:
+    """The largest number that, taken of each count or else the whole count, sums to at most ``limit``; 1 at least."""
+    left = limit
+    for i, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - i)
+        if n > share:
+            return max(1, share)
+        left -= n
+    return max([1, *counts])
+
+
+def draw_by_language(rows: DataFrame, counts: dict[str, int], limit: int, seed: int) -> DataFrame:
+    """(id, lang) of an equal share of each language, those with the smallest hash of the id. What a language with few
+    documents leaves goes to the others. A first cut by the hash, as in bounded_draw, keeps the order small."""
+    share, whole = equal_share(list(counts.values()), limit), 1 << 40
+    cuts = [(lang, int(whole * min(1.0, (2.0 * share + 50) / n))) for lang, n in counts.items()]
+    near = F.broadcast(rows.sparkSession.createDataFrame(cuts, "lang string, cut long"))
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(whole))
+    first = rows.select("id", "lang", draw.alias("draw")).join(near, "lang").where(F.col("draw") < F.col("cut"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
+    return first.withColumn("place", place).where(F.col("place") <= share).select("id", "lang").distinct()
+
+
 def fit(
     labelled: DataFrame, id_col: str = "doc_id", max_docs: int = 6_000, max_words: int = 80_000, max_grams: int = 30_000
 ) -> BackoffModel:
@@ -102,8 +126,9 @@ def fit(
     small_batches(labelled.sparkSession)
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col(id_col).isNotNull())
     rows = usable.select(F.col(id_col).alias("id"), "text", "lang")
-    # the drawn ids are at most max_docs rows: small enough to send to every task
-    picked = rows.join(F.broadcast(bounded_draw(rows, "id", max_docs, 41).select("id").distinct()), "id")
+    # the drawn ids are at most max_docs rows (or one a language): small enough to send to every task
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
+    picked = rows.join(F.broadcast(draw_by_language(rows, counts, max_docs, 41)), ["id", "lang"])
 
     def count(batches):
         for pdf in batches:
@@ -119,8 +144,10 @@ def fit(
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
     )
-    # a sum for each language of all sampled words, and the most frequent words: both bounded by the sample
-    pdf = rows.orderBy(F.desc("n"), "word", "lang").limit(4 * max_words).toPandas()
+    # the most frequent words of each language, 4 * max_words of all languages: bounded by the sample
+    share = max(1, 4 * max_words // max(1, len(counts)))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    pdf = rows.withColumn("place", place).where(F.col("place") <= share).drop("place").orderBy(F.desc("n"), "word", "lang").toPandas()
     languages = sorted(pdf["lang"].unique())
     at = {lang: i for i, lang in enumerate(languages)}
     words: dict[str, np.ndarray] = {}
@@ -129,17 +156,17 @@ def fit(
     totals = sum(words.values()) if words else np.zeros(len(languages))
     grams: list[dict[str, tuple[float, ...]]] = []
     for size in SIZES:
-        counts: dict[str, np.ndarray] = {}
+        seen: dict[str, np.ndarray] = {}
         for word, v in words.items():
             marked = f"<{word}>"
             u = np.minimum(v, 50.0)
             for i in range(len(marked) - size + 1):
                 g = marked[i : i + size]
-                if g in counts:
-                    counts[g] = counts[g] + u
+                if g in seen:
+                    seen[g] = seen[g] + u
                 else:
-                    counts[g] = u
-        grams.append(_table(counts, sum(counts.values()) if counts else totals, max_grams))
+                    seen[g] = u
+        grams.append(_table(seen, sum(seen.values()) if seen else totals, max_grams))
     return BackoffModel(languages, _table({w: v for w, v in words.items() if v.sum() >= 3}, totals, max_words), grams)
 
 

@@ -226,6 +226,13 @@ def test_language_word_first_then_shorter_grams(spark):
     assert {r["lang_pred"] for r in language_id.identify(odd_docs(spark), nothing).collect()} == {"und"}
 
 
+def test_language_sample_is_drawn_per_language(spark):
+    rows = [(i, "the house the cat sat there", "en") for i in range(3000)] + [(3000 + i, "das haus und die katze", "de") for i in range(20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=40, max_words=2)
+    assert model.languages == ["de", "en"] and model.predict("das katze")[0] == "de" and model.predict("house")[0] == "en"
+    assert language_id.equal_share([3000, 20], 40) == 20 and language_id.equal_share([3000, 5], 40) == 35 and language_id.equal_share([3, 4], 40) == 4
+
+
 # ---- 4 mixing ------------------------------------------------------------------------------------------------
 
 
