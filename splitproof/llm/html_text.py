@@ -7,7 +7,8 @@ are joined. The labeller is trained here, on the driver, on pages that a seeded
 with menus, headers, footers, sidebars, notices, adverts, forms and comments; no label comes from the input.
 
 Defined cases: a null or empty html, or a page without main text, gives the empty text. Unclosed and crossed tags
-are repaired as they are met; an unclosed script, style or comment lasts to the end of the page. Repeated rows are
+are repaired as they are met; an unclosed script, style or comment lasts to the end of the page. What noscript,
+template, svg, iframe and object hold is left out; without an end tag their start tag is passed over. Repeated rows are
 each extracted; further columns are ignored. Nothing is capped: long pages are read whole.
 """
 
@@ -83,6 +84,7 @@ def blocks_of(page: str | None) -> list[Block]:
         link = 0
 
     pos, end = 0, len(page)
+    never_closed: set[str] = set()  # of RAW: no end tag from here on
     match = TOKEN.match
     while pos < end:
         m = match(page, pos)
@@ -118,9 +120,14 @@ def blocks_of(page: str | None) -> list[Block]:
                     break
             continue
         if tag in RAW:
-            if not attributes.endswith("/"):
+            if not attributes.endswith("/") and tag not in never_closed:
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-                pos = close.end() if close else end
+                if close:
+                    pos = close.end()
+                elif tag in ("script", "style"):
+                    pos = end
+                else:
+                    never_closed.add(tag)
             if tag in ("noscript", "iframe", "object"):
                 flush()
             continue

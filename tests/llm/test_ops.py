@@ -386,6 +386,14 @@ def test_html_parsing():
     assert html_text.blocks_of(None) == [] == html_text.blocks_of("")
 
 
+def test_html_reads_on_after_an_unclosed_element():
+    for tag in ("svg", "object", "template", "noscript", "iframe"):
+        assert [b.text for b in html_text.blocks_of(f"<p>a</p><{tag} x='1'><p>b</p><{tag}><p>c</p>")] == ["a", "b", "c"]
+        assert [b.text for b in html_text.blocks_of(f"<p>a</p><{tag}>x</{tag}><p>b</p><{tag}><p>c</p>")] == ["a", "b", "c"]
+    for tag in ("script", "style"):
+        assert [b.text for b in html_text.blocks_of(f"<p>a</p><{tag}><p>b</p>")] == ["a"]
+
+
 def test_html_odd(spark):
     model = html_text.train()
     long = "<article>" + "".join(f"<p>paragraph number {i} of a long article, with some words in it.</p>" for i in range(3000)) + "</article>"
