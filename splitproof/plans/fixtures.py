@@ -35,7 +35,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 ITEMS = f"""items AS (
   SELECT doc_id AS item_id, lang AS class, source, CASE WHEN {h("'split:' || doc_id")} % 5 = 0 THEN 'Testing' ELSE 'Training' END AS split,
          source || '|' || lang AS group_id, md5(text) AS file_hash,
-         md5(substr(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g'), 1, 128)) AS content_hash, n_chars, text FROM documents
+         md5(regexp_replace(lower(text), '[^a-z0-9]+', '', 'g')) AS content_hash, n_chars, text FROM documents
 )"""
 
 
