@@ -1,6 +1,6 @@
 """Invariants as checks that raise; each is one distributed test for an empty frame."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,9 @@ def coverage_gaps(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 def check_same_items(a: DataFrame, b: DataFrame, key: str = "item_id") -> None:
     require_empty(coverage_gaps(a, b, key), "the arms do not cover the same items")
+
+
+def where_both(a: str, b: str, value: Column) -> Column:
+    """``value`` where both sides are there; a row that lacks one raises, in the task that computes it."""
+    missing = F.col(a).isNull() | F.col(b).isNull()
+    return F.when(missing, F.raise_error(F.lit("the arms do not cover the same items"))).otherwise(value)

@@ -1,6 +1,6 @@
 """Exact duplicates: audits within and across splits, first-wins removal, reasons."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,9 +24,11 @@ def leak_report(items: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def first_of_each(items: DataFrame, keys: list[str], order: str = "item_id") -> DataFrame:
-    """One row for each key: the first in the order."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    return items.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """One row for each key: the first in the order. An aggregate, so that a key with a large share of the rows is
+    combined before the shuffle."""
+    rest = [c for c in items.columns if c not in keys]
+    first = items.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__first"))
+    return first.select(*[F.col(c) if c in keys else F.col("__first")[c].alias(c) for c in items.columns])
 
 
 def surplus_copies(items: DataFrame, key: str, by: list[str]) -> DataFrame:
@@ -46,10 +48,14 @@ def redundancy(items: DataFrame, key: str) -> DataFrame:
 def removal_reasons(items: DataFrame, near: DataFrame | None = None, key: str = "content_hash") -> DataFrame:
     """item_id and reason of what a clean split drops. Copies within a split come first, then test rows that training
     holds, then near-duplicates (item_id, reason); the first reason stays."""
-    w = Window.partitionBy("split", key).orderBy("item_id")
-    marked = items.withColumn("r", F.row_number().over(w)).join(train_hashes(items, key).withColumn("t", F.lit(1)), key, "left")
-    own = F.when(F.col("r") > 1, F.lit("duplicate within split")).when(
-        (F.col("split") == "Testing") & F.col("t").isNotNull(), F.lit("duplicate of training")
+    firsts = items.groupBy("split", key).agg(F.min("item_id").alias("__first"))
+    training = firsts.where("split = 'Training'").select(F.col(key).alias("__t"))
+    # each key's first item of the split, and whether training holds the key: one row a key, not an item
+    known = firsts.join(training, F.col(key) == F.col("__t"), "left").select("split", F.col(key).alias("__k"), "__first", "__t")
+    held = items.select("item_id", F.col("split").alias("__s"), key)
+    marked = held.join(known, (F.col("__s") == F.col("split")) & F.col(key).eqNullSafe(F.col("__k")))
+    own = F.when(F.col("item_id") > F.col("__first"), F.lit("duplicate within split")).when(
+        (F.col("split") == "Testing") & F.col("__t").isNotNull(), F.lit("duplicate of training")
     )
     marked = marked.select("item_id", own.alias("own"))
     if near is None:
@@ -60,5 +66,5 @@ def removal_reasons(items: DataFrame, near: DataFrame | None = None, key: str =
 
 def inherit_from_first(items: DataFrame, key: str, value: str) -> DataFrame:
     """Every copy takes the value of the first item with its key."""
-    w = Window.partitionBy(key).orderBy("item_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return items.withColumn(value, F.first(value).over(w))
+    first = items.groupBy(F.col(key).alias("__k")).agg(F.min_by(value, "item_id").alias("__v"))
+    return items.join(first, items[key].eqNullSafe(first["__k"])).select(*[F.col("__v").alias(c) if c == value else items[c] for c in items.columns])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import checks, cluster, dedup, leakage, partition, similarity
+from ..operators.contamination import contained_passages
 from .fixtures import BEST, ITEMS, PREDS, VECS, h, items, predictions, vectors
 from .registry import query
 
@@ -114,11 +115,10 @@ def j11(spark, d):
     f"WITH {PREDS}, i AS (SELECT item_id, avg(correct) FILTER (arm = 'random') AS r, avg(correct) FILTER (arm = 'patient') AS p FROM preds GROUP BY 1) SELECT item_id, round(r - p, 6) AS diff FROM i",
 )
 def j12(spark, d):
-    p = predictions(spark, d)
-    mean = lambda arm, name: p.where(F.col("arm") == arm).groupBy("item_id").agg(F.avg("correct").alias(name))
-    r, q = mean("random", "r"), mean("patient", "p")
-    checks.check_same_items(r, q)
-    return r.join(q, "item_id").select("item_id", F.round(F.col("r") - F.col("p"), 6).alias("diff"))
+    """Both arms in one aggregate. An item that one arm lacks raises when the rows are computed."""
+    side = lambda arm: F.avg(F.when(F.col("arm") == arm, F.col("correct")))
+    both = predictions(spark, d).groupBy("item_id").agg(side("random").alias("r"), side("patient").alias("p"))
+    return both.select("item_id", checks.where_both("r", "p", F.round(F.col("r") - F.col("p"), 6)).alias("diff"))
 
 
 @query("J13_traced_only", f"WITH {ITEMS} SELECT split, count(*) AS n FROM items WHERE item_id IN (SELECT doc_id FROM labels) GROUP BY 1")
@@ -445,17 +445,6 @@ def g10b(spark, d):
     "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
 )
 def x1(spark, d):
-    """Documents that hold a benchmark text. Three inner words of a text, whole in any document that holds it, find the
-    documents; an exact comparison decides. Texts of fewer than five words are compared with every document."""
+    """Documents that hold a benchmark text, at any place, also within a word."""
     docs, bench = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/benchmark.parquet")
-    words = F.split("text", r"\s+")
-    bench = bench.where(F.length("text") > 0).select("item_id", F.col("text").alias("passage"), words.alias("w"))
-    inner = F.array_join(F.slice("w", 2, 3), " ").alias("k")
-    keys = bench.where(F.size("w") >= 5).select("item_id", "passage", inner)
-    grams = F.expr("array_distinct(transform(sequence(1, greatest(size(w) - 2, 1)), i -> array_join(slice(w, i, 3), ' ')))")
-    cut = docs.withColumn("w", words).select("doc_id", F.explode(grams).alias("k"))
-    # ids first, so that texts are joined only to what can match
-    found = cut.join(keys.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    exact = found.join(docs, "doc_id").join(keys.select("item_id", "passage"), "item_id").where(F.col("text").contains(F.col("passage")))
-    short = docs.join(bench.where(F.size("w") < 5).select("item_id", "passage"), F.col("text").contains(F.col("passage")))
-    return exact.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id"))
+    return contained_passages(docs, bench)

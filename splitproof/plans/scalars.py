@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,19 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import checks
+from ..shared import scratch
 from ..sources import readers, sinks
 from .fixtures import ITEMS, LOGITS, PIXELS, PREDS, SOFTMAX, VECS, h, items, logits, pixels, predictions, vectors
 from .registry import query
 
 
-def _scratch(spark) -> str:
-    """A new folder in the shared place that the cluster names."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="splitproof-")
-    return f"{base.rstrip('/')}/splitproof/{uuid.uuid4().hex}"
-
-
 @query("F1_file_md5", "SELECT doc_id, md5(text) AS file_hash FROM documents")
 def f1(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", S.file_md5(F.col("text")).alias("file_hash"))
@@ -272,7 +263,7 @@ def s4(spark, d):
 
 
 def _csv_predictions(spark, d) -> DataFrame:
-    out = _scratch(spark)
+    out = scratch(spark)
     p = predictions(spark, d).where("arm = 'patient'")
     rows = p.select(
         F.concat(F.lit("img\\"), F.col("item_id").cast("string")).alias("path"), F.col("group_id").alias("group"), "true", "pred", "correct", "confidence",
@@ -299,7 +290,7 @@ def s6(spark, d):
     )
     run = F.struct(F.concat(F.lit("seed"), F.col("seed").cast("string")).alias("key"), F.struct("test_accuracy", "n_test", "n_errors", "seed").alias("value"))
     text = p.agg(F.to_json(F.map_from_entries(F.collect_list(run))).alias("value"))
-    out = _scratch(spark)
+    out = scratch(spark)
     text.write.text(out)
     return readers.run_results(spark, out).select("seed", "n_test", "n_errors", "test_accuracy")
 
@@ -334,7 +325,7 @@ def s10(spark, d):
 @query("K1_write_split", f"WITH {ITEMS} SELECT split, class, count(*) AS n FROM items GROUP BY 1, 2")
 def k1(spark, d):
     """Written partitioned by split and class, checked again from disk, and counted."""
-    out = _scratch(spark)
+    out = scratch(spark)
     kept = items(spark, d).select("item_id", "split", "class", "content_hash")
     sinks.write_split(kept, out)
     return spark.read.parquet(out).groupBy("split", "class").agg(F.count("*").alias("n"))
@@ -348,7 +339,7 @@ def k4(spark, d):
 
 @query("K5_write_once", f"WITH {ITEMS} SELECT item_id, {h('item_id::VARCHAR')} % 5 AS fold FROM items")
 def k5(spark, d):
-    out = _scratch(spark)
+    out = scratch(spark)
     rows = items(spark, d).select("item_id", (S.hash_int(F.col("item_id").cast("string")) % 5).alias("fold"))
     sinks.write_once(rows, out, 1234)
     again = sinks.read_once(spark, out, 1234)
