@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,21 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut, stage
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where the setting is absent (unit tests on a local master) a folder of our own is set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        if named is None:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="splitproof-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named or jsc.getCheckpointDir().get()
+__all__ = ["cut", "stage"]
+SALTS = 64  # parts that a hot node of a graph is dealt over
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -38,21 +25,6 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(name, most)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small frame with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a bulky intermediate once, as Parquet in the shared folder, and read it back."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/splitproof/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def map_groups(
     df: DataFrame,
     keys: list[str],
@@ -107,17 +79,16 @@ def map_groups(
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
-def with_tiles(df: DataFrame, group: str, member: str, size: str, chunk: int) -> DataFrame:
+def with_tiles(df: DataFrame, member: str, chunks: Column) -> DataFrame:
     """Deal each group out over square tiles so that every pair of members meets in exactly one of them.
 
-    ``size`` holds the rows of the group. A group of n rows has c = ceil(n / chunk) chunks, dealt by a hash of
-    the member; each row goes to the c tiles of its chunk. Adds tile_a, tile_b (tile_a <= tile_b) and side
+    ``chunks`` tells into how many chunks the group is cut, the same for all its rows. A row's chunk goes by a hash of the
+    member; the row goes to the tiles of its chunk with each chunk. Adds tile_a, tile_b (tile_a <= tile_b) and side
     (0: of chunk tile_a, 1: of chunk tile_b; 0 on the diagonal).
     """
-    n = F.ceil(F.col(size) / F.lit(chunk)).cast("int")
-    mine = F.pmod(F.xxhash64(F.col(member), F.lit(17)), n.cast("long")).cast("int")
+    mine = F.pmod(F.xxhash64(F.col(member), F.lit(17)), F.col("__n").cast("long")).cast("int")
     return (
-        df.withColumn("__n", n)
+        df.withColumn("__n", chunks.cast("int"))
         .withColumn("__c", mine)
         .withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
         .withColumn("tile_a", F.least("__c", "__o"))
@@ -144,6 +115,18 @@ def forest(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return active[move], active[label[move]]
 
 
+def _with_least(edges: DataFrame, least_of_own: bool) -> DataFrame:
+    """``edges`` (u, v) with m, the least v of each u (or u itself, if that is less and ``least_of_own``).
+
+    A node with a large share of all edges is dealt over SALTS parts by a hash of v, in the aggregate and in the join.
+    """
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("v", F.lit(3)), F.lit(SALTS)).cast("byte"))
+    parts = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("s").alias("s"))  # SALTS parts a node at most
+    least = least.select("u", (F.least("u", "m") if least_of_own else F.col("m")).alias("m"), F.explode("s").alias("s"))
+    return dealt.join(least, ["u", "s"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node on an edge; component is the smallest node reachable.
 
@@ -159,10 +142,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     seen = mark(now)
     while seen[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _with_least(both, True).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = _with_least(large, False)
+        small = down.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         last, seen = seen, mark(now)
         if last == seen:
@@ -190,15 +172,16 @@ def small_side(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def packed_vectors(values: pd.Series) -> list[bytes | None]:
-    """Each vector as little-endian doubles; None where null, empty, zero or with a null or non-finite part."""
+def packed_vectors(values: pd.Series, kind: str = "<f8") -> list[bytes | None]:
+    """Each vector's components as bytes; None where null, empty, zero or with a null or non-finite part. ``kind`` is
+    "<f8", or "<f4" for a column of floats, which that holds exactly."""
     out: list[bytes | None] = []
     for v in values:
         if v is None or not isinstance(v, (np.ndarray, list)) or not len(v):
             out.append(None)
             continue
         try:
-            x = np.asarray(v, dtype="<f8")
+            x = np.asarray(v, dtype=kind)
         except (TypeError, ValueError):
             out.append(None)
             continue
@@ -206,9 +189,14 @@ def packed_vectors(values: pd.Series) -> list[bytes | None]:
     return out
 
 
-def stack(packed: np.ndarray) -> np.ndarray:
+def kind_of(df: DataFrame, column: str) -> str:
+    """The kind that holds a column of vectors exactly in the fewest bytes."""
+    return "<f4" if df.schema[column].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def stack(packed: np.ndarray, kind: str = "<f8") -> np.ndarray:
     """Packed vectors of one length as a matrix of doubles."""
-    return np.frombuffer(b"".join(packed), dtype="<f8").reshape(len(packed), -1)
+    return np.frombuffer(b"".join(packed), dtype=kind).reshape(len(packed), -1).astype(np.float64, copy=False)
 
 
 def not_null(*columns: str) -> Column:

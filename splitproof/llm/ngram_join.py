@@ -5,19 +5,24 @@ of letters, digits and underscores in lower case. Band and row counts are chosen
 threshold. Steps:
 
 1. Each text gives its shingles' MinHash signature and a 128-bit digest of the whole set. Documents with
-   equal sets form a class (copies are never expanded into pairs).
+   equal sets form a class (copies are never expanded into pairs). Classes have numbers of their own: an id that
+   occurs with several texts is in several classes.
 2. One signature a class is dealt out by band hashes. Within a bucket, signatures are compared in square tiles;
-   those whose estimated similarity isn't far below the threshold are joined to candidate components. This keeps
-   classes that only happen to share a band, say by a common passage, from chaining everything together.
+   pairs whose sizes allow the threshold and whose signatures agree in enough places join candidate components. A pair
+   at the threshold agrees in fewer places with a chance of at most ``LOSS`` (the binomial tail), which adds to what
+   the bands may miss. This keeps classes that only share a band, say by a common passage, from chaining everything
+   together.
 3. Within a candidate component the full shingle sets meet in square tiles, each pair in exactly one, and are
    compared exactly. A tile returns the number of links of each row and edges that span what is linked, never
-   its pairs. The edges give the final components.
+   its pairs. The edges give the final components. Tiles are bounded in rows and in bytes; a component of n bytes is
+   sent n / ``TILE_BYTES`` times, not once for each pair.
 
 Large groups are dealt over many tiles and never gathered in one task; no partner is dropped or capped.
 
 Defined cases: a text of one to four words has one shingle, all its words. A null text or one without words
 has no shingles and links with nothing, nor does a row without an id (its class is then its own id).
-Rows that repeat a doc_id each count as copies. An empty table gives an empty result.
+Rows that repeat a doc_id each count as documents, copies of each other or not as their texts are; each row has the
+links and the class of its own text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,15 +37,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, map_groups, small_batches, stage, with_tiles
+from .common import connected_components, forest, map_groups, small_batches, small_side, stage, with_tiles
 
 WORD = re.compile(r"\w+")
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
+LOSS = 1e-6
 MEMO = 150_000
 BUCKET_CHUNK = 512
-TILE_CHUNK = 256
+TILE_ROWS = 1024
+TILE_BYTES = 8 << 20  # of shingles on one side of a tile
+BROADCAST_ROWS = 200_000  # of an id and a hash
 _memo: dict[str, int] = {}
 
 
@@ -60,6 +68,18 @@ def bands_for(threshold: float, recall: float, chance_at: float = 0.3, max_hashe
     return best[1], best[2]
 
 
+@lru_cache(maxsize=8)
+def least_agreeing(threshold: float, hashes: int, loss: float = LOSS) -> int:
+    """The largest count that a signature pair at the threshold misses with a chance of at most ``loss``."""
+    tail = 0.0
+    for k in range(hashes + 1):
+        log = math.lgamma(hashes + 1) - math.lgamma(k + 1) - math.lgamma(hashes - k + 1)
+        tail += math.exp(log + k * math.log(threshold) + (hashes - k) * math.log1p(-threshold)) if threshold < 1 else float(k == hashes)
+        if tail > loss:
+            return k
+    return hashes
+
+
 def _word_hash(word: str) -> int:
     h = _memo.get(word)
     if h is None:
@@ -103,11 +123,12 @@ class Signer:
         return out
 
 
-def near_documents(
-    docs: DataFrame, id_col: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE_CHUNK
-) -> DataFrame:
-    """One row per input row: id, copy_id (smallest id with the same shingles), n_links (other documents linked
-    directly, copies included), class_id (smallest id reachable by links)."""
+SAME = ["h1", "h2", "size"]  # what documents with equal sets of shingles share
+
+
+def _classes_of(docs: DataFrame, id_col: str, n: int, threshold: float, recall: float, tile: int) -> tuple[DataFrame, DataFrame]:
+    """(sketches, found). sketches: id, t (hash of the text) and SAME of every row. found: of every class SAME, copy_id,
+    n_links, class_id and group, a number that the classes of a component share."""
     bands, rows = bands_for(threshold, recall)
     hashes = bands * rows
     small_batches(docs.sparkSession)
@@ -122,20 +143,20 @@ def near_documents(
                 h2.append(int(np.add.reduce(_mix(s ^ np.uint64(0x5851F42D4C957F2D)), initial=np.uint64(0)).view(np.int64)))
                 size.append(len(s))
                 sig.append(signer.sign(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"id": pdf["id"], "h1": h1, "h2": h2, "size": size, "sig": sig})
+            yield pd.DataFrame({"id": pdf["id"], "t": pdf["t"], "h1": h1, "h2": h2, "size": size, "sig": sig})
         _memo.clear()  # the worker lives on for other operators
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), "text")
-    sketches = stage(texts.select(F.col("id").cast("string"), "text")  # as text: pandas has no whole numbers with nulls
-        .mapInPandas(sketch, "id string, h1 long, h2 long, size int, sig binary")
+    texts = _with_text_hash(docs.select(F.col(id_col).cast("long").alias("id"), "text"))
+    sketches = stage(texts.select(F.col("id").cast("string"), "t", "text")  # as text: pandas has no whole numbers with nulls
+        .mapInPandas(sketch, "id string, t long, h1 long, h2 long, size int, sig binary")
         .withColumn("id", F.col("id").cast("long")),
         "sketches",
     )
-    same = ["h1", "h2", "size"]
     classes = stage(
         sketches.where("id is not null and size > 0")
-        .groupBy(*same)
-        .agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.max("sig").alias("sig")),
+        .groupBy(*SAME)
+        .agg(F.min(F.struct("id", "t")).alias("first"), F.count("*").alias("m"), F.max("sig").alias("sig"))
+        .select(F.monotonically_increasing_id().alias("c"), *SAME, "first.id", "first.t", "m", "sig"),
         "classes",
     )
 
@@ -147,57 +168,73 @@ def near_documents(
             h = np.full((len(pdf), bands), 0x9E3779B97F4A7C15, np.uint64) + np.arange(bands, dtype=np.uint64)[None, :]
             for r in range(rows):
                 h = _mix(h * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, r])
-            yield pd.DataFrame({"bucket": h.ravel().view(np.int64), "rep": np.repeat(pdf["rep"].to_numpy(), bands)})
+            yield pd.DataFrame({"bucket": h.ravel().view(np.int64), "c": np.repeat(pdf["c"].to_numpy(), bands)})
 
-    buckets = classes.select("rep", "sig").mapInPandas(bands_of, "bucket long, rep long")
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    met = with_tiles(buckets.join(shared, "bucket"), "bucket", "rep", "n", BUCKET_CHUNK)
-    spread = math.sqrt(threshold * (1 - threshold) / hashes)
+    buckets = classes.select("c", "sig").mapInPandas(bands_of, "bucket long, c long")
+    # staged, so that the join below reads plain shuffles, of which a bucket with many classes can be split
+    shared = stage(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    met = with_tiles(buckets.join(shared, "bucket"), "c", F.ceil(F.col("n") / BUCKET_CHUNK))
     candidates = map_groups(
-        met.select(
-            F.xxhash64("bucket", "tile_a", "tile_b").alias("tile"), "rep", "side", (F.col("tile_a") == F.col("tile_b")).alias("diagonal")
-        ).join(classes.select("rep", "sig"), "rep"),
-        ["tile"],
-        _likely_edges(math.ceil((threshold - 4.5 * spread) * hashes)),
+        met.select("bucket", "tile_a", "tile_b", "c", "side").join(classes.select("c", "size", "sig"), "c"),
+        ["bucket", "tile_a", "tile_b"],
+        _likely_edges(least_agreeing(threshold, hashes), threshold),
         "a long, b long",
     )
-    blocks = stage(connected_components(candidates), "blocks")
-    blocks = blocks.join(blocks.groupBy("component").agg(F.count("*").alias("n")), "component")
+    blocks = stage(
+        connected_components(candidates).withColumnRenamed("node", "c").join(classes.select("c", "id", "t", "size"), "c"), "blocks"
+    )
+    chunks = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum(F.col("size") * 8) / TILE_BYTES)).alias("chunks")
+    cuts = stage(blocks.groupBy("component").agg(chunks), "cuts")
 
     def sets(batches):
         for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["id"], "shingles": [shingles(t, n).tobytes() for t in pdf["text"]]})
-
-    full = stage(
-        texts.join(blocks.select(F.col("node").alias("id")), "id").dropDuplicates(["id"]).mapInPandas(sets, "rep long, shingles binary"),
-        "shingles",
-    ).join(classes.select("rep", "m"), "rep")
-    tiles = with_tiles(blocks.withColumnRenamed("node", "rep"), "component", "rep", "n", tile)
+            yield pd.DataFrame({"c": pdf["c"], "shingles": [shingles(t, n).tobytes() for t in pdf["text"]]})
+        _memo.clear()
+
+    wanted = blocks.select("id", "t", "c")
+    wanted = small_side(wanted, wanted.count(), BROADCAST_ROWS)
+    one = texts.join(wanted, ["id", "t"]).select("c", "text").dropDuplicates(["c"])
+    full = stage(one.mapInPandas(sets, "c long, shingles binary"), "shingles").join(classes.select("c", "m"), "c")
+    tiles = with_tiles(blocks.select("component", "c").join(cuts, "component"), "c", F.col("chunks"))
     verified = stage(
         map_groups(
-            tiles.select(
-                F.xxhash64("component", "tile_a", "tile_b").alias("tile"), "rep", "side", (F.col("tile_a") == F.col("tile_b")).alias("diagonal")
-            ).join(full, "rep"),
-            ["tile"],
+            tiles.select("component", "tile_a", "tile_b", "c", "side").join(full, "c"),
+            ["component", "tile_a", "tile_b"],
             _verify(threshold),
             "kind byte, a long, b long",
         ),
         "verified",
     )
-    links = verified.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
-    components = connected_components(verified.where("kind = 1").select("a", "b"))
+    links = verified.where("kind = 0").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("links"))
+    linked = connected_components(verified.where("kind = 1").select("a", "b")).withColumnRenamed("node", "c")
+    linked = stage(linked.join(classes.select("c", "id"), "c"), "linked")
+    least = stage(linked.groupBy("component").agg(F.min("id").alias("class_id")), "least")
     found = (
-        classes.select(*same, "rep", "m")
-        .join(links, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        classes.select("c", *SAME, "id", "m")
+        .join(links, "c", "left")
+        .join(linked.join(least, "component").select("c", "component", "class_id"), "c", "left")
         .select(
-            *same,
-            F.col("rep").alias("copy_id"),
+            *SAME,
+            F.col("id").alias("copy_id"),
             (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "rep").alias("class_id"),
+            F.coalesce("class_id", "id").alias("class_id"),
+            F.coalesce("component", "c").alias("group"),
         )
     )
-    out = sketches.select("id", *same).join(found, same, "left")
+    return sketches.select("id", "t", *SAME), found
+
+
+def _with_text_hash(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("t", F.xxhash64("text"))
+
+
+def near_documents(
+    docs: DataFrame, id_col: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE_ROWS
+) -> DataFrame:
+    """One row per input row: id, copy_id (smallest id with the same shingles), n_links (other documents linked
+    directly, copies included), class_id (smallest id reachable by links)."""
+    sketches, found = _classes_of(docs, id_col, n, threshold, recall, tile)
+    out = sketches.select("id", *SAME).join(found, SAME, "left")
     real = F.col("id").isNotNull()
     return out.select(
         F.col("id").alias(id_col),
@@ -207,22 +244,30 @@ def near_documents(
     )
 
 
-def _likely_edges(least: int):
-    """Edges that span the rows of a tile whose signatures agree in at least ``least`` places."""
+def _diagonal(g: dict[str, np.ndarray]) -> bool:
+    return bool(g["tile_a"][0] == g["tile_b"][0])
+
+
+def _likely_edges(least: int, threshold: float):
+    """Edges that span the rows of a tile whose sizes allow the threshold and whose signatures agree in at least
+    ``least`` places."""
 
     def fn(g: dict[str, np.ndarray]):
-        k = len(g["rep"])
+        k = len(g["c"])
         if k < 2:
             return None
         sig = np.frombuffer(b"".join(g["sig"]), np.uint32).reshape(k, -1)
+        size = g["size"].astype(float)
         near = np.zeros((k, k), bool)
-        for i in range(0, k, 64):
-            near[i : i + 64] = (sig[i : i + 64, None, :] == sig[None, :, :]).sum(2) >= least
-        if not g["diagonal"][0]:
+        step = max(1, 4_000_000 // (k * sig.shape[1]))
+        for i in range(0, k, step):
+            near[i : i + step] = (sig[i : i + step, None, :] == sig[None, :, :]).sum(2) >= least
+        near &= np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9
+        if not _diagonal(g):
             near &= g["side"][:, None] != g["side"][None, :]
         np.fill_diagonal(near, False)
         node, root = forest(near)
-        return g["rep"][node], g["rep"][root]
+        return g["c"][node], g["c"][root]
 
     return fn
 
@@ -253,8 +298,8 @@ def _verify(threshold: float):
 
     def fn(g: dict[str, np.ndarray]):
         parsed = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
-        size, m, rep = np.array([len(s) for s in parsed], float), g["m"].astype(np.int64), g["rep"]
-        if g["diagonal"][0]:
+        size, m, c = np.array([len(s) for s in parsed], float), g["m"].astype(np.int64), g["c"]
+        if _diagonal(g):
             common = _common(parsed, None)
             close = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
             np.fill_diagonal(close, False)
@@ -265,25 +310,45 @@ def _verify(threshold: float):
                 return None
             common = _common([parsed[i] for i in a], [parsed[i] for i in b])
             close = common >= threshold * (size[a][:, None] + size[b][None, :] - common) - 1e-9
-            counts = np.zeros(len(rep), np.int64)
+            counts = np.zeros(len(c), np.int64)
             counts[a], counts[b] = close @ m[b], close.T @ m[a]
-            full = np.zeros((len(rep), len(rep)), bool)
+            full = np.zeros((len(c), len(c)), bool)
             full[np.ix_(a, b)] = close
             full |= full.T
         node, root = forest(full)
-        kind = np.concatenate([np.zeros(len(rep), np.int8), np.ones(len(node), np.int8)])
-        return kind, np.concatenate([rep, rep[node]]), np.concatenate([counts, rep[root]])
+        kind = np.concatenate([np.zeros(len(c), np.int8), np.ones(len(node), np.int8)])
+        return kind, np.concatenate([c, c[node]]), np.concatenate([counts, c[root]])
 
     return fn
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that have a smaller id in their class; repeated rows of an id become one."""
-    found = near_documents(docs, id_col, **options)
-    gone = found.where(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    real = docs.where(F.col(id_col).isNotNull())
-    kept = real.join(gone, real[id_col] == gone["__gone"], "left_anti").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, tile: int = TILE_ROWS
+) -> DataFrame:
+    """``docs`` without the documents that a smaller one of their component stands for.
+
+    Of each component the row with the smallest id stays (of several texts of that id in the component, the one with
+    the smallest hash; of rows equal in id and text any one). Rows without shingles or without an id all stay.
+    """
+    sketches, found = _classes_of(docs, id_col, n, threshold, recall, tile)
+    rows = sketches.where("id is not null and size > 0").join(found.select(*SAME, "group"), SAME).select("id", "t", "group")
+    rows = stage(rows, "rows")
+    first = F.min(F.struct("id", "t")).alias("first")
+    several = stage(rows.groupBy("group").agg(first, F.count("*").alias("n")).where("n > 1").select("group", "first"), "several")
+    wins = (F.col("id") == F.col("first.id")) & (F.col("t") == F.col("first.t"))
+    marks = rows.join(several, "group").groupBy("id", "t").agg(F.max(wins).alias("wins"), F.count("*").alias("n"))
+    marks = stage(marks.where("not wins or n > 1").select(F.col("id").alias("__id"), F.col("t").alias("__t"), "wins"), "marks")
+    counts = {r["wins"]: r["count"] for r in marks.groupBy("wins").count().collect()}  # two rows
+    marks = marks.withColumnRenamed("wins", "__wins")
+
+    hashed = docs.select(F.struct("*").alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64("text").alias("__t"))
+    columns = [F.col("__row")[c].alias(c) for c in docs.columns]
+    known = small_side(marks, sum(counts.values()), BROADCAST_ROWS)
+    both = hashed.join(known, ["__id", "__t"], "left")
+    if not counts.get(True):
+        return both.where("__wins is null").select(*columns)
+    once = both.where("__wins").dropDuplicates(["__id", "__t"])
+    return both.where("__wins is null").select(*columns).unionByName(once.select(*columns))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:

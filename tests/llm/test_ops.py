@@ -2,6 +2,7 @@
 rows, empty tables, further columns whose names clash."""
 
 import itertools
+import math
 import os
 import random
 import re
@@ -98,7 +99,7 @@ def test_map_groups_over_many_batches(spark):
 
 def test_tiles_meet_every_pair_once(spark):
     df = spark.range(23).select(F.lit(1).alias("g"), "id", F.lit(23).alias("n"))
-    rows = common.with_tiles(df, "g", "id", "n", 5).collect()
+    rows = common.with_tiles(df, "id", F.ceil(F.col("n") / 5)).collect()
     seen = {}
     for (_, members) in itertools.groupby(sorted(rows, key=lambda r: (r["tile_a"], r["tile_b"])), key=lambda r: (r["tile_a"], r["tile_b"])):
         members = list(members)
@@ -342,6 +343,30 @@ def test_ngram_brute(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(comp)) and kept.columns == DOCS.replace(" long", "").replace(" string", "").split(", ")
 
 
+def test_ngram_ids_with_several_texts(spark):
+    """An id that has two texts links by each of them; the pipeline keeps both texts, and one of near ones."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    a, b = ([word() for _ in range(80)] for _ in range(2))
+    near = lambda t, i: " ".join([*t[:i], "zz", *t[i + 1 :]])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, near(a, 79)), (9, near(b, 79)), (10, near(a, 0)), (10, near(a, 0)), (7, near(b, 0)), (None, " ".join(a)), (None, " ".join(a))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = sorted((str(r["doc_id"]), r["n_links"], str(r["class_id"])) for r in ngram_join.near_documents(docs, tile=2).collect())
+    assert got == sorted([("7", 3, "7"), ("7", 2, "7"), ("8", 3, "7"), ("9", 2, "7"), ("10", 3, "7"), ("10", 3, "7"), ("7", 2, "7"), ("None", 0, "None"), ("None", 0, "None")])
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one_of_each(docs).collect()]
+    first = [t for i, t in kept if i == 7]
+    assert len(first) == 2 and " ".join(a) in first and len(kept) == 4 and [t for i, t in kept if i is None] == [" ".join(a)] * 2
+    same = docs.where("doc_id = 10")
+    assert ngram_join.keep_one_of_each(same).count() == 1
+
+
+def test_signature_bound_misses_at_most_what_it_says():
+    for hashes, t in ((100, 0.8), (120, 0.5)):
+        least = ngram_join.least_agreeing(t, hashes)
+        tail = lambda k: sum(math.comb(hashes, i) * t**i * (1 - t) ** (hashes - i) for i in range(k))
+        assert tail(least) <= 1e-6 < tail(least + 1)
+
+
 def test_banding_recall():
     for t in (0.5, 0.8, 0.9):
         b, r = ngram_join.bands_for(t, 0.99)
