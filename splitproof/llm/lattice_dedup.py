@@ -2,13 +2,16 @@
 
 Random projections to blocks of eight coordinates are decoded to the nearest E8 lattice points, in several
 tables. A vector is filed under its own cell and under the neighbouring cells nearest to it; vectors that meet
-in a cell are verified by exact cosine. Scale, blocks, probes and tables are designed from the number of
-vectors, so that the candidates of a vector stay about as many at every size.
+in a cell are compared by a coarse copy of eight bits a component, whose error is bounded: no pair at the threshold
+is lost by it, and vectors travel to the cells in an eighth of their size. Pairs that may be close join candidate
+components, in which all pairs are verified by exact cosine, in square tiles. Scale, blocks, probes and tables are
+designed from the number of vectors, so that the candidates of a vector stay about as many at every size.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component links with nothing
 and is its own component; so does a row without an id (its component is null and it is kept). Vectors of
 different lengths never link. Rows with equal vectors link with each other. Rows that repeat a vec_id each
-count. An empty table gives an empty result. Further columns of the input are ignored.
+count, with the links of their own vector, and rows of one id are in one component only if their vectors are. An
+empty table gives an empty result. Further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, map_groups, not_null, packed_vectors, small_batches, stack, stage, with_tiles
+from .common import connected_components, forest, kind_of, map_groups, not_null, packed_vectors, small_batches, stack, stage, with_tiles
 
-CHUNK = 512  # rows of a tile's side
+CELL_CHUNK = 512  # rows of a side of a cell's tile
+CHUNK = 2048  # rows of a side of a component's tile
 
 
 def _minimal_vectors() -> np.ndarray:
@@ -137,28 +141,37 @@ def _pair_recall(design: Design, cosine: float, pairs: int, tables: int) -> floa
 
 
 @lru_cache(maxsize=64)
-def design_for(rows: int, dims: int, cosine: float, recall: float, max_tables: int = 96) -> Design:
-    """The cheapest design that reaches the recall for pairs at exactly ``cosine``.
+def design_for(rows: int, dims: int, cosine: float, recall: float) -> Design:
+    """The cheapest design that reaches the recall for pairs at exactly ``cosine``; an error where none does.
 
     The chance that two unrelated vectors share a cell follows from the lattice's unit volume and the density
-    of projected vectors. Cost: rows shuffled plus candidates verified.
+    of projected vectors. Cost, in bytes: keys shuffled, coarse vectors sent to cells that are shared, and comparisons.
     """
     best: tuple[float, Design] | None = None
-    for blocks, probes, expected in itertools.product((1, 2, 3), (2, 4, 8), (32.0, 128.0, 512.0)):
+    vector = dims + 40.0
+    for blocks, probes, expected in itertools.product((1, 2, 3), (2, 4, 8), (0.5, 2.0, 8.0, 32.0, 128.0, 512.0, 2048.0)):
         chance = min(0.25, expected / (max(rows, 2) * (1 + 2 * probes)))
         scale = (chance ** (1 / blocks) * (4 * math.pi) ** 4) ** 0.125
         met = _pair_recall(Design(dims, blocks, scale, probes, 1), cosine, 400, 4)
-        if met < 0.02:
+        if met < 0.01:
             continue
         tables = max(2, math.ceil(math.log(1 - recall) / math.log(1 - min(met, 0.999))))
-        cost = tables * (1 + probes) * 30 + tables * expected * 0.3
-        if tables <= max_tables and (best is None or cost < best[0]):
+        homes = chance * rows  # of other vectors, in a cell
+        shared = 1 - math.exp(-homes * (1 + probes)) + probes * (1 - math.exp(-homes))
+        cost = tables * ((1 + probes) * 40 + shared * vector + expected * 0.3)
+        if best is None or cost < best[0]:
             best = (cost, Design(dims, blocks, scale, probes, tables))
     if best is None:
-        return Design(dims, 3, 2.0, 8, max_tables)
+        raise ValueError(f"no lattice design reaches recall {recall} at cosine {cosine} for {rows} vectors of {dims} components")
     return best[1]
 
 
+def coarse(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, step) of each row: components to the nearest of 255 steps of the largest one."""
+    step = np.abs(unit).max(1) / 127.0
+    return np.rint(unit / step[:, None]).astype(np.int8), step
+
+
 def near_embeddings(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -166,14 +179,17 @@ def near_embeddings(
     cosine: float = 0.9,
     recall: float = 0.97,
     chunk: int = CHUNK,
+    cell_chunk: int = CELL_CHUNK,
 ) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept."""
+    kind = kind_of(vectors, vector_col)
+    width = int(kind[2:])
 
     def pack(batches):
         for pdf in batches:
-            packed = packed_vectors(pdf["v"])
+            packed = packed_vectors(pdf["v"], kind)
             yield pd.DataFrame(
-                {"vec_id": pdf["id"], "packed": packed, "dims": [len(p) // 8 if p else 0 for p in packed]}
+                {"vec_id": pdf["id"], "packed": packed, "dims": [len(p) // width if p else 0 for p in packed]}
             )
 
     small_batches(vectors.sparkSession)
@@ -184,76 +200,84 @@ def near_embeddings(
         "vectors",
     )
     usable = rows.where(not_null("vec_id", "packed"))
+    # equal vectors are one class; classes have numbers of their own, since an id can have several vectors
     classes = stage(
-        usable.groupBy("dims", "packed").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")), "classes"
+        usable.groupBy("dims", "packed")
+        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
+        .select(F.monotonically_increasing_id().alias("c"), "*"),
+        "classes",
     )
-    sizes = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["dims"]: r["n"] for r in classes.groupBy("dims").agg(F.count("*").alias("n")).collect()}  # one row a length
     designs = {d: design_for(n, d, cosine, recall) for d, n in sizes.items()}
 
     def file(batches):
         for pdf in batches:
             for d, part in pdf.groupby("dims"):
                 design = designs[d]
-                x = stack(part["packed"].to_numpy())
-                x = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-                rep = part["rep"].to_numpy()
+                x = _unit(part["packed"].to_numpy(), kind)
+                c = part["c"].to_numpy()
                 for t in range(design.tables):
                     cells = design.cells(x, t)
                     wide = cells.shape[1]
                     yield pd.DataFrame(
                         {
                             "cell": cells.ravel() ^ np.int64(d * 0x1000003),
-                            "rep": np.repeat(rep, wide),
-                            "home": np.tile((np.arange(wide) == 0).astype(np.int8), len(rep)),
+                            "c": np.repeat(c, wide),
+                            "home": np.tile((np.arange(wide) == 0).astype(np.int8), len(c)),
                         }
                     )
 
-    cells = classes.select("dims", "packed", "rep").mapInPandas(file, "cell long, rep long, home byte")
-    shared = (
+    def shrink(batches):
+        for pdf in batches:
+            for d, part in pdf.groupby("dims"):
+                q, step = coarse(_unit(part["packed"].to_numpy(), kind))
+                yield pd.DataFrame({"c": part["c"].to_numpy(), "dims": d, "step": step, "q": [r.tobytes() for r in q]})
+
+    cells = classes.select("dims", "packed", "c").mapInPandas(file, "cell long, c long, home byte")
+    # staged, so that the join below reads plain shuffles, of which a cell with many vectors can be split
+    shared = stage(
         cells.groupBy("cell")
         .agg(F.count("*").alias("n"), F.sum("home").alias("homes"))
         .where("n > 1 and homes > 0")
+        .select("cell", "n"),
+        "cells",
     )
-    met = with_tiles(cells.join(shared, "cell"), "cell", "rep", "n", chunk)
-    tile = F.xxhash64("cell", "tile_a", "tile_b").alias("tile")
+    small = classes.select("dims", "packed", "c").mapInPandas(shrink, "c long, dims int, step double, q binary")
+    met = with_tiles(cells.join(shared, "cell"), "c", F.ceil(F.col("n") / cell_chunk))
     edges = map_groups(
-        met.select(tile, "rep", "home", "side", (F.col("tile_a") == F.col("tile_b")).alias("diagonal")).join(
-            classes.select("rep", "packed"), "rep"
-        ),
-        ["tile"],
-        _close_edges(cosine),
+        met.select("cell", "tile_a", "tile_b", "c", "home", "side").join(small, "c"),
+        ["cell", "tile_a", "tile_b"],
+        _perhaps_close(cosine),
         "a long, b long",
     )
-    components = stage(connected_components(edges), "components")
-    members = components.join(
-        components.groupBy("component").agg(F.count("*").alias("n")), "component"
-    ).withColumnRenamed("node", "rep")
-    tiles = with_tiles(members, "component", "rep", "n", chunk)
-    counts = map_groups(
-        tiles.select(
-            F.xxhash64("component", "tile_a", "tile_b").alias("tile"),
-            "rep",
-            "side",
-            (F.col("tile_a") == F.col("tile_b")).alias("diagonal"),
-        ).join(classes.select("rep", "packed", "m"), "rep"),
-        ["tile"],
-        _close_counts(cosine),
-        "rep long, links long",
+    blocks = stage(connected_components(edges).withColumnRenamed("node", "c"), "blocks")
+    cuts = stage(blocks.groupBy("component").agg(F.ceil(F.count("*") / chunk).alias("chunks")), "cuts")
+    tiles = with_tiles(blocks.join(cuts, "component"), "c", F.col("chunks"))
+    verified = stage(
+        map_groups(
+            tiles.select("component", "tile_a", "tile_b", "c", "side").join(classes.select("c", "dims", "packed", "m"), "c"),
+            ["component", "tile_a", "tile_b"],
+            _verify(cosine, kind),
+            "kind byte, a long, b long",
+        ),
+        "verified",
     )
-    links = counts.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = verified.where("kind = 0").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("links"))
+    linked = connected_components(verified.where("kind = 1").select("a", "b")).withColumnRenamed("node", "c")
+    linked = stage(linked.join(classes.select("c", "rep"), "c"), "linked")
+    least = stage(linked.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     found = (
-        classes.join(links, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        classes.join(links, "c", "left")
+        .join(linked.join(least, "component").select("c", "component_id"), "c", "left")
         .select(
             "dims",
             "packed",
             (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("component_id", "rep").alias("component_id"),
         )
     )
     return (
-        rows.join(found.where(not_null("packed")), ["dims", "packed"], "left")
-        .select("vec_id", "n_links", "component_id")
+        rows.join(found, ["dims", "packed"], "left")
         .select(
             "vec_id",
             F.when(F.col("vec_id").isNull(), F.lit(0)).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"),
@@ -263,42 +287,58 @@ def near_embeddings(
     )
 
 
-def _unit(packed: np.ndarray) -> np.ndarray:
-    x = stack(packed)
+def _unit(packed: np.ndarray, kind: str) -> np.ndarray:
+    x = stack(packed, kind)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _close_edges(cosine: float):
-    """Edges that span what is close within a tile, between rows of which one is at home in the cell."""
+def _perhaps_close(cosine: float):
+    """Edges that span what may be close within a tile, between rows of which one is at home in the cell.
+
+    A coarse copy is off by at most half a step in each component, by r = step * sqrt(dims) / 2 in all; so the product of
+    two copies is off by at most r_a + r_b + r_a * r_b from the cosine.
+    """
 
     def fn(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
-        if len(g["rep"]) < 2:
+        if len(g["c"]) < 2 or not g["home"].any():
             return None
-        x = _unit(g["packed"])
-        close = x @ x.T >= cosine
+        dims = int(g["dims"][0])
+        step = g["step"].astype(float)
+        x = np.frombuffer(b"".join(g["q"]), np.int8).reshape(len(step), dims) * step[:, None]
+        r = step * math.sqrt(dims) / 2 * (1 + 1e-9)
+        close = x @ x.T >= cosine - 1e-9 - (r[:, None] + r[None, :] + r[:, None] * r[None, :])
         close &= (g["home"][:, None] + g["home"][None, :]) > 0
-        if not g["diagonal"][0]:
+        if g["tile_a"][0] != g["tile_b"][0]:
             close &= g["side"][:, None] != g["side"][None, :]
         np.fill_diagonal(close, False)
         node, root = forest(close)
-        keep = g["rep"][node] != g["rep"][root]
-        return g["rep"][node][keep], g["rep"][root][keep]
+        keep = g["c"][node] != g["c"][root]
+        return g["c"][node][keep], g["c"][root][keep]
 
     return fn
 
 
-def _close_counts(cosine: float):
-    """For each row of a tile, the input rows that it links to in the tile."""
+def _verify(cosine: float, kind: str):
+    """Exact cosines within a tile: kind 0, the input rows that each row links to; kind 1, edges that span the links."""
 
-    def fn(g: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
-        x, m = _unit(g["packed"]), g["m"].astype(np.int64)
-        if g["diagonal"][0]:
-            close = x @ x.T >= cosine
-            np.fill_diagonal(close, False)
-            return g["rep"], close @ m
-        a, b = g["side"] == 0, g["side"] == 1
-        close = x[a] @ x[b].T >= cosine
-        return np.concatenate([g["rep"][a], g["rep"][b]]), np.concatenate([close @ m[b], close.T @ m[a]])
+    def fn(g: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
+        x, m, c = _unit(g["packed"], kind), g["m"].astype(np.int64), g["c"]
+        diagonal = g["tile_a"][0] == g["tile_b"][0]
+        side = g["side"]
+        close = np.empty((len(x), len(x)), bool)
+        for i in range(0, len(x), 512):
+            close[i : i + 512] = x[i : i + 512] @ x.T >= cosine
+            if not diagonal:
+                close[i : i + 512] &= side[i : i + 512, None] != side[None, :]
+        np.fill_diagonal(close, False)
+        close &= close.T  # the products of a pair may differ in the last bit
+        links = np.concatenate([close[i : i + 512] @ m for i in range(0, len(x), 512)])
+        node, root = forest(close)
+        return (
+            np.concatenate([np.zeros(len(c), np.int8), np.ones(len(node), np.int8)]),
+            np.concatenate([c, c[node]]),
+            np.concatenate([links, c[root]]),
+        )
 
     return fn

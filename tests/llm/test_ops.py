@@ -504,7 +504,7 @@ def test_e8_decoder_is_nearest():
 
 def test_near_embeddings_brute(spark):
     x = vector_rows()
-    got = lattice_dedup.near_embeddings(spark.createDataFrame([(i, v.tolist(), 0, 5, "p") for i, v in enumerate(x)], VECTORS), chunk=16).orderBy("vec_id").collect()
+    got = lattice_dedup.near_embeddings(spark.createDataFrame([(i, v.tolist(), 0, 5, "p") for i, v in enumerate(x)], VECTORS), chunk=16, cell_chunk=8).orderBy("vec_id").collect()
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = u @ u.T >= 0.9
     np.fill_diagonal(near, False)
@@ -525,6 +525,34 @@ def test_near_embeddings_odd(spark):
     assert lattice_dedup.near_embeddings(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_near_embeddings_ids_with_several_vectors(spark):
+    a, b = [1.0] * 8 + [0.0] * 8, [0.0] * 8 + [1.0] * 8
+    rows = [(7, a), (7, b), (8, [1.1] + a[1:]), (9, b[:15] + [1.1]), (10, [-x for x in a])]
+    got = lattice_dedup.near_embeddings(spark.createDataFrame([(*r, 0, None, None) for r in rows], VECTORS)).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(7, 1, 7), (7, 1, 7), (8, 1, 7), (9, 1, 7), (10, 0, 10)]
+
+
+def test_coarse_vectors_lose_no_close_pair():
+    rng = np.random.default_rng(12)
+    u = rng.normal(size=(400, 24))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.normal(size=(400, 24))
+    w -= (w * u).sum(1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    v = 0.9 * u + math.sqrt(1 - 0.81) * w
+    for x, y in zip(u, v, strict=True):
+        q, step = lattice_dedup.coarse(np.stack([x, y]))
+        g = {"c": np.array([1, 2]), "home": np.array([1, 0]), "dims": np.array([24, 24]), "step": step, "q": [r.tobytes() for r in q], "tile_a": np.zeros(2), "tile_b": np.zeros(2), "side": np.zeros(2, int)}
+        assert len(lattice_dedup._perhaps_close(0.9)(g)[0]) == 1
+
+
+def test_lattice_designs_at_every_size():
+    for rows in (2, 10**4, 10**7, 10**10):
+        for dims in (2, 8, 64, 300):
+            design = lattice_dedup.design_for(rows, dims, 0.9, 0.97)
+            assert 1 - (1 - lattice_dedup._pair_recall(design, 0.9, 400, 4)) ** design.tables >= 0.96
+
+
 # ---- 10 search -----------------------------------------------------------------------------------------------
 
 
