@@ -6,12 +6,16 @@ further ones. A query walks an in-memory graph over the centroids, keeps all lis
 ratio of the nearest one's distance (where the walk's ``beam`` nearest do not reach that far, it compares with every
 centroid instead), and is compared with all vectors of these lists.
 
-Parameters that bound what is held in memory: ``sample`` (vectors the centroids are fitted on) and
-``max_lists`` (centroids). All vectors are filed and lists may be of any length: they are dealt over tiles.
-
-Defined cases: vectors that are null, empty, zero or hold null or non-finite components, rows without an id and
-vectors of another length than most take no part. Rows that repeat a vec_id count once as a partner. With fewer
-than k candidates all are returned. Ties go to the smaller vec_id. An empty table gives an empty result.
+The number of lists grows with the table (rows / ``list_size``) up to ``max_lists``. What is held in memory is bounded
+by parameters: ``sample_bytes`` (vectors the centroids are fitted on: ``sample`` of them, or eight a list) and
+``centroid_bytes`` (centroids sent to every task). ``boundary`` and ``replicas`` tell which further lists a vector
+is filed under, ``ratio``, ``least_lists`` and ``beam`` which lists a query reads (``beam`` is how many centroids the
+walk keeps, no limit of the lists). All vectors are filed and lists may be of any length: they are dealt over tiles.
+
+Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, take
+no part. Vectors are compared with those of their own length, by an index for each length. An id that occurs with
+several vectors is the set of them: it asks with each, and is as near as its nearest. With fewer than k candidates all
+are returned. Ties go to the smaller vec_id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_groups, not_null, packed_vectors, small_batches, stack, stage
+from .common import kind_of, map_groups, not_null, packed_vectors, small_batches, small_side, stack, stage
 
 CHUNK = 4096  # vectors of a list in one tile
 QUERY_CHUNK = 512  # queries in one tile
@@ -129,7 +133,9 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     sample: int = 20_000,
-    max_lists: int = 2048,
+    sample_bytes: int = 128 << 20,
+    max_lists: int = 65_536,
+    centroid_bytes: int = 32 << 20,
     list_size: int = 400,
     boundary: float = 1.03,
     replicas: int = 3,
@@ -141,12 +147,16 @@ def search(
 
     Returns query_id, rank, vec_id, score (Euclidean distance in double precision).
     """
+    spark = vectors.sparkSession
+    small_batches(spark)
+    kind = "<f4" if kind_of(vectors, vector_col) == kind_of(queries, vector_col) == "<f4" else "<f8"
+    width = int(kind[2:])
 
     def pack(batches):
         for pdf in batches:
-            packed = packed_vectors(pdf["v"])
+            packed = packed_vectors(pdf["v"], kind)
             yield pd.DataFrame(
-                {"vec_id": pdf["id"], "packed": packed, "dims": [len(p) // 8 if p else 0 for p in packed]}
+                {"vec_id": pdf["id"], "packed": packed, "dims": [len(p) // width if p else 0 for p in packed]}
             )
 
     def packed(df: DataFrame, name: str) -> DataFrame:
@@ -155,35 +165,48 @@ def search(
             rows.mapInPandas(pack, "vec_id long, packed binary, dims int").where(not_null("vec_id", "packed")), name
         )
 
-    spark = vectors.sparkSession
-    small_batches(spark)
     base, asked = packed(vectors, "base"), packed(queries, "queries")
-    out = "query_id long, rank int, vec_id long, score double"
-    counted = base.groupBy("dims").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    if counted is None:
-        return spark.createDataFrame([], out)
-    dims, rows = counted["dims"], counted["n"]
-    base, asked = base.where(F.col("dims") == dims), asked.where(F.col("dims") == dims)
+    lengths = [(r["dims"], r["n"]) for r in base.groupBy("dims").agg(F.count("*").alias("n")).orderBy("dims").collect()]  # one row a length
+    out = None
+    for dims, rows in lengths:
+        same = F.col("dims") == dims
+        lists = max(1, min(math.ceil(rows / list_size), max_lists, centroid_bytes // (8 * dims)))
+        drawn = min(max(sample, 8 * lists), sample_bytes // (8 * dims))
+        found = _indexed(base.where(same), asked.where(same), kind, k, rows, lists, max(1, drawn), boundary, replicas, ratio, least_lists, beam)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    merged = out.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return (
+        merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    )
+
 
+def _indexed(
+    base: DataFrame, asked: DataFrame, kind: str, k: int, rows: int, lists: int, sample: int, boundary: float, replicas: int, ratio: float, least_lists: int, beam: int
+) -> DataFrame:
+    """(query_id, vec_id, score): of every tile the k nearest ids, for vectors of one length."""
+    spark = base.sparkSession
     draw = F.pmod(F.xxhash64("vec_id", F.lit(99)), F.lit(1 << 40))
     near_enough = int((1 << 40) * min(1.0, 1.5 * sample / rows))
     picked = base.where(draw < near_enough).orderBy(draw, "vec_id").limit(sample).select("packed").collect()
-    points = stack(np.array([bytes(r["packed"]) for r in picked], object))
-    centroids = balanced_centroids(points, min(max_lists, max(1, math.ceil(rows / list_size))))
-    graph = spark.sparkContext.broadcast(CentroidGraph.build(centroids))
+    points = stack(np.array([bytes(r["packed"]) for r in picked], object), kind)
+    graph = spark.sparkContext.broadcast(CentroidGraph.build(balanced_centroids(points, lists)))
 
     def file(batches):
         c = graph.value.points
         norm, r = (c * c).sum(1), min(replicas, len(c))
+        step = max(1, 2_000_000 // len(c))
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = stack(pdf["packed"].to_numpy())
-            d = np.sqrt(np.maximum(norm[None, :] - 2.0 * x @ c.T + (x * x).sum(1)[:, None], 0))
-            near = np.argpartition(d, r - 1, axis=1)[:, :r]
-            value = np.take_along_axis(d, near, 1)
-            row, col = np.nonzero(value <= boundary * value.min(1, keepdims=True))
-            yield pd.DataFrame({"list": near[row, col], "vec_id": pdf["vec_id"].to_numpy()[row], "packed": pdf["packed"].to_numpy()[row]})
+            for begin in range(0, len(pdf), step):
+                part = pdf.iloc[begin : begin + step]
+                x = stack(part["packed"].to_numpy(), kind)
+                d = np.sqrt(np.maximum(norm[None, :] - 2.0 * x @ c.T + (x * x).sum(1)[:, None], 0))
+                near = np.argpartition(d, r - 1, axis=1)[:, :r]
+                value = np.take_along_axis(d, near, 1)
+                row, col = np.nonzero(value <= boundary * value.min(1, keepdims=True))
+                yield pd.DataFrame({"list": near[row, col], "vec_id": part["vec_id"].to_numpy()[row], "packed": part["packed"].to_numpy()[row]})
 
     postings = stage(base.mapInPandas(file, "list int, vec_id long, packed binary"), "postings")
     sizes = postings.groupBy("list").agg(F.count("*").alias("n"))
@@ -195,7 +218,7 @@ def search(
         for pdf in batches:
             ids, lists, rows_ = [], [], []
             for i, q in enumerate(pdf["packed"].to_numpy()):
-                near = g.lists(np.frombuffer(q, "<f8"), n, ratio, least_lists, (k + 1) * (replicas + 1), beam)
+                near = g.lists(np.frombuffer(q, kind).astype(float), n, ratio, least_lists, (k + 1) * (replicas + 1), beam)
                 lists.append(near)
                 rows_.append(np.full(len(near), i))
             if lists:
@@ -203,52 +226,52 @@ def search(
                 ids = pdf["vec_id"].to_numpy()[at]
                 yield pd.DataFrame({"list": np.concatenate(lists), "vec_id": ids, "packed": pdf["packed"].to_numpy()[at]})
 
-    probes = stage(asked.dropDuplicates(["vec_id"]).mapInPandas(choose, "list int, vec_id long, packed binary"), "probes")
+    probes = stage(asked.dropDuplicates(["vec_id", "packed"]).mapInPandas(choose, "list int, vec_id long, packed binary"), "probes")
     tiles = sizes.join(probes.groupBy("list").agg(F.count("*").alias("q")), "list").select(
         "list", F.ceil(F.col("n") / CHUNK).cast("int").alias("pn"), F.ceil(F.col("q") / QUERY_CHUNK).cast("int").alias("qn")
     )
-    part = F.xxhash64("vec_id", F.lit(5))
+    part = F.xxhash64("vec_id", "packed", F.lit(5))
 
     def dealt(df: DataFrame, mine: str, other: str, name: str, query: bool) -> DataFrame:
         own = F.pmod(part, F.col(mine).cast("long")).cast("int").alias(f"{name}_own")
         every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("every")
-        df = df.join(F.broadcast(tiles), "list").select("list", "vec_id", "packed", own, every)
+        df = df.join(small_side(tiles, len(length), 100_000), "list").select("list", "vec_id", "packed", own, every)
         p, q = ("every", f"{name}_own") if query else (f"{name}_own", "every")
-        return df.select(F.xxhash64("list", p, q).alias("tile"), "vec_id", "packed", F.lit(int(query)).cast("byte").alias("query"))
+        return df.select("list", F.col(p).alias("p"), F.col(q).alias("q"), "vec_id", "packed", F.lit(int(query)).cast("byte").alias("query"))
 
     both = dealt(postings, "pn", "qn", "p", False).unionByName(dealt(probes, "qn", "pn", "q", True))
-    found = map_groups(both, ["tile"], _nearest(k), "query_id long, vec_id long, score double")
-    merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (
-        merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    )
+    return map_groups(both, ["list", "p", "q"], _nearest(k, kind), "query_id long, vec_id long, score double")
 
 
-def _nearest(k: int):
-    """The k nearest of a tile's vectors to each of its queries, by exact distance."""
+def _nearest(k: int, kind: str):
+    """The k nearest ids among a tile's vectors to each of its queries, by exact distance."""
 
     def fn(g: dict[str, np.ndarray]):
         is_query = g["query"] == 1
         if not is_query.any() or is_query.all():
             return None
-        q_id, p_id = g["vec_id"][is_query], g["vec_id"][~is_query]
-        p_id, once = np.unique(p_id, return_index=True)
-        q, p = stack(g["packed"][is_query]), stack(g["packed"][~is_query][once])
-        rough = np.maximum((q * q).sum(1)[:, None] - 2.0 * q @ p.T + (p * p).sum(1)[None, :], 0)
-        rough[q_id[:, None] == p_id[None, :]] = np.inf
+        q_id, q = g["vec_id"][is_query], stack(g["packed"][is_query], kind)
+        order = np.flatnonzero(~is_query)
+        order = order[np.argsort(g["vec_id"][order], kind="stable")]
+        p_id, p = g["vec_id"][order], stack(g["packed"][order], kind)
+        first = np.flatnonzero(np.concatenate([[True], p_id[1:] != p_id[:-1]]))  # of each id's vectors
+        ids, last = p_id[first], np.append(first[1:], len(p_id))
+        q_norm, p_norm = (q * q).sum(1), (p * p).sum(1)
+        # what the rough distances may be off by, from the rounding of the three sums
+        off = 16 * np.finfo(float).eps * q.shape[1] * (q_norm + p_norm.max())
         outs = []
-        for i in range(len(q)):
-            r = rough[i]
-            if len(r) > k:
-                bound = np.partition(r, k - 1)[k - 1]
-                near = np.flatnonzero(r <= bound + 1e-9 * (1 + abs(bound)))
-            else:
-                near = np.arange(len(r))
-            near = near[np.isfinite(r[near])]
-            exact = np.sqrt(((p[near] - q[i]) ** 2).sum(1))
-            first = np.lexsort((p_id[near], exact))[:k]
-            outs.append((np.full(len(first), q_id[i]), p_id[near][first], exact[first]))
+        for begin in range(0, len(q), 64):
+            rough = q_norm[begin : begin + 64, None] - 2.0 * q[begin : begin + 64] @ p.T + p_norm[None, :]
+            rough = np.minimum.reduceat(rough, first, axis=1)
+            rough[q_id[begin : begin + 64, None] == ids[None, :]] = np.inf
+            for i, r in enumerate(rough, begin):
+                near = np.flatnonzero(np.isfinite(r))
+                if len(near) > k:
+                    bound = np.partition(r, k - 1)[k - 1]
+                    near = np.flatnonzero(r <= bound + 2 * off[i])
+                exact = np.array([np.sqrt(((p[first[j] : last[j]] - q[i]) ** 2).sum(1)).min() for j in near]) if len(ids) < len(p) else np.sqrt(((p[near] - q[i]) ** 2).sum(1))
+                best = np.lexsort((ids[near], exact))[:k]
+                outs.append((np.full(len(best), q_id[i]), ids[near][best], exact[best]))
         return tuple(np.concatenate([o[j] for o in outs]) for j in range(3))
 
     return fn

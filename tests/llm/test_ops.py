@@ -579,11 +579,30 @@ def test_search_brute(spark):
 def test_search_odd(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [0.0, 0.0]), (None, [1.0, 1.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0, 0.0, 0.0])]
     df = spark.createDataFrame([(*r, 0, None, None) for r in rows], VECTORS)
-    got = ann.search(df, df.where("vec_id in (0, 3)")).orderBy("rank").collect()
+    got = ann.search(df, df.where("vec_id in (0, 3, 7)")).orderBy("rank").collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 0.5), (0, 2, 2, 0.5)]
     assert ann.search(df.where("false"), df).count() == 0 and ann.search(df, df.where("false")).count() == 0
 
 
+def test_search_lengths_and_ids_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [5.0, 5.0]), (2, [5.0, 6.0]), (10, [1.0, 0.0, 0.0]), (11, [1.0, 0.0, 2.0]), (12, [1.0, 0.0, 1.0])]
+    df = spark.createDataFrame([(*r, 0, None, None) for r in rows], VECTORS)
+    got = ann.search(df, df.where("vec_id in (1, 10)"), k=2).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(1, 0, 0.5), (1, 2, 1.0), (10, 12, 1.0), (10, 11, 2.0)]
+
+
+def test_nearest_far_from_the_origin():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 16)) + 1e7
+    pack = [v.tobytes() for v in x]
+    g = {"query": np.array([1] * 20 + [0] * 300), "vec_id": np.array([*range(20), *range(300)]), "packed": np.array(pack[:20] + pack, object)}
+    q, p, d = ann._nearest(10, "<f8")(g)
+    for i in range(20):
+        true = np.sqrt(((x - x[i]) ** 2).sum(1))
+        true[i] = np.inf
+        assert p[q == i].tolist() == np.lexsort((np.arange(300), true))[:10].tolist()
+
+
 def test_graph_finds_what_a_scan_finds():
     rng = np.random.default_rng(2)
     points = rng.normal(size=(500, 8))
