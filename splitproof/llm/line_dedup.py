@@ -3,7 +3,7 @@
 A line occurrence is dropped if it isn't the first of its text, or if a different line whose first occurrence
 is earlier lies within one edit (a character inserted, deleted or replaced). Order: doc_id, then position. Lines
 are compared after ASCII white space is trimmed from both ends; blank lines are never dropped. Lines of
-fewer than ``min_near`` characters are only compared exactly: in them one edit is no small change.
+fewer than ``min_near`` characters (10; 1 compares all) are only compared exactly: in them one edit is no small change.
 
 Exact copies go by the first occurrence of each text. For near copies every variant within the edit bound is
 emitted as a hashed key: the line itself, and the line with one character deleted, with and without the position.
@@ -14,9 +14,11 @@ emitted, lines that cannot have a partner are set aside: of two lines within one
 half is equal, so a line whose halves no other line has needs no variants, nor does one that equals no other outside an eighth of its
 length. Nothing is lost by that.
 
-Defined cases: a null text stays null, an empty one empty. Rows without an id come last in order, one unit. Rows
-that repeat a doc_id count as one document: they keep the same lines. Ties cannot occur: positions differ. An
-empty table gives an empty result. Other columns are passed through (n_chars, if there, is set anew).
+Defined cases: a null text stays null, an empty one empty. Rows without an id come last in order. Rows that repeat an
+id are documents of their own if their texts differ, in the order of a hash of the text; rows that repeat id and text
+count as one document: they keep the same lines. So do rows without an id that have equal texts. Ties cannot
+occur: positions differ. An empty table gives an empty result. Other columns are passed through (n_chars, if there, is
+set anew). With ``drop_emptied`` rows that had a line and keep none are left out.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .common import small_batches, small_side, stage
 MIN_NEAR = 10
 BLANKS = " \t\n\x0b\x0c\r"
 LAST = (1 << 63) - 1  # the order of rows without an id
-BROADCAST_ROWS = 100_000
+BROADCAST_LINES = 500_000  # places of lines, four bytes each, beside their documents' keys
 
 
 def _characters(text: str) -> np.ndarray:
@@ -72,110 +74,120 @@ def variant_keys(text: str) -> tuple[np.ndarray, np.ndarray]:
     return keys[keep], roles[keep]
 
 
-def first_lines(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each distinct trimmed line: its first occurrence (d, pos), length n and half keys."""
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d")
-    lines = docs.where("text is not null").select(order, F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("d", "pos", F.trim("line", F.lit(BLANKS)).alias("t")).where("t <> ''")
+def _unit(id_col: str) -> list:
+    """The order of documents: d, the id (LAST for none), then x, a hash of the text."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("x")]
+
+
+PLACE = ["d", "x", "pos"]
+
+
+def first_lines(docs: DataFrame, id_col: str = "doc_id", min_near: int = MIN_NEAR) -> DataFrame:
+    """One row for each distinct trimmed line: its first occurrence (PLACE), length n and half keys."""
+    lines = docs.where("text is not null").select(*_unit(id_col), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    lines = lines.select(*PLACE, F.trim("line", F.lit(BLANKS)).alias("t")).where("t <> ''")
 
     def half(size: str, left: bool):
         text = f"left(t, {size} div 2)" if left else f"right(t, {size} - {size} div 2)"
-        return F.when(F.col("n") >= MIN_NEAR - 1, F.expr(f"xxhash64({text}, {size}, {int(left)})"))
+        return F.when(F.col("n") >= min_near - 1, F.expr(f"xxhash64({text}, {size}, {int(left)})"))
 
     lines = lines.withColumn("n", F.length("t")).select(
         F.xxhash64("t").alias("h"),
         F.crc32(F.col("t").cast("binary")).alias("c"),
         "n",
-        "d",
-        "pos",
+        *PLACE,
         *[half(size, left).alias(f"k{i}") for i, (size, left) in enumerate((s, x) for s in ("n", "(n - 1)") for x in (True, False))],
     )
     return lines.groupBy("h", "c", "n").agg(
-        F.min(F.struct("d", "pos")).alias("first"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
-    ).select("n", F.col("first.d").alias("d"), F.col("first.pos").alias("pos"), *[f"k{i}" for i in range(4)])
+        F.min(F.struct(*PLACE)).alias("first"), *[F.min(f"k{i}").alias(f"k{i}") for i in range(4)]
+    ).select("n", "first.*", *[f"k{i}" for i in range(4)])
+
+
+def _met(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Keys on more than one row; staged, so that joins with them read plain shuffles, of which a hot key can be split."""
+    return stage(rows.groupBy(key).agg(F.count("*").alias("m")).where("m > 1").select(key), name)
 
 
-def near_copies(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(d, pos) of the first occurrences that have an earlier line within one edit."""
-    halves = firsts.where(F.col("n") >= MIN_NEAR).select("d", "pos", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k"))
-    shared = halves.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
-    able = stage(halves.join(shared, "k").select("d", "pos").distinct(), "lines-able")
-    wanted = able.groupBy("d").agg(F.sort_array(F.collect_list("pos")).alias("wanted"))
-    n_docs = wanted.count()
-    texts = docs.where("text is not null").select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), "text")
-    texts = texts.join(small_side(wanted, n_docs, BROADCAST_ROWS), "d")
+def near_copies(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id", min_near: int = MIN_NEAR) -> DataFrame:
+    """PLACE of the first occurrences that have an earlier line within one edit."""
+    halves = firsts.where(F.col("n") >= min_near).select(*PLACE, F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k"))
+    shared = _met(halves, "k", "lines-halves")
+    able = stage(halves.join(shared, "k").select(*PLACE).distinct(), "lines-able")
+    wanted = able.groupBy("d", "x").agg(F.sort_array(F.collect_list("pos")).alias("wanted"))
+    texts = docs.where("text is not null").select(*_unit(id_col), "text")
+    texts = texts.join(small_side(wanted, able.count(), BROADCAST_LINES), ["d", "x"])
 
     def pick(batches):
         for pdf in batches:
-            d, pos, out = [], [], []
-            for i, text, places in zip(pdf["d"], pdf["text"], pdf["wanted"], strict=True):
+            d, x, pos, out = [], [], [], []
+            for i, h, text, places in zip(pdf["d"], pdf["x"], pdf["text"], pdf["wanted"], strict=True):
                 lines = text.split("\n")
                 for p in places:
                     if p < len(lines) and (t := lines[p].strip(BLANKS)):
                         d.append(i)
+                        x.append(h)
                         pos.append(p)
                         out.append(t)
-            yield pd.DataFrame({"d": np.array(d, np.int64), "pos": np.array(pos, np.int32), "t": out})
+            yield pd.DataFrame({"d": np.array(d, np.int64), "x": np.array(x, np.int64), "pos": np.array(pos, np.int32), "t": out})
 
-    lines = stage(texts.mapInPandas(pick, "d long, pos int, t string").dropDuplicates(["d", "pos"]), "lines-text")
-    lines = lines.join(_with_a_window_in_common(lines), ["d", "pos"], "left_semi")
+    # rows that repeat id and text give the same line of a place more than once
+    lines = stage(texts.mapInPandas(pick, "d long, x long, pos int, t string").dropDuplicates(PLACE), "lines-text")
+    lines = lines.join(_with_a_window_in_common(lines), PLACE, "left_semi")
 
-    names = ["key", "role", "d", "pos"]
+    names = ["key", "role", *PLACE]
 
     def vary(batches):
         for pdf in batches:
             held, rows = [], 0
-            for i, p, t in zip(pdf["d"], pdf["pos"], pdf["t"], strict=True):
+            for i, h, p, t in zip(pdf["d"], pdf["x"], pdf["pos"], pdf["t"], strict=True):
                 keys, roles = variant_keys(t)
-                held.append((keys, roles, np.full(len(keys), i, np.int64), np.full(len(keys), p, np.int32)))
-                rows += len(keys)
+                n = len(keys)
+                held.append((keys, roles, np.full(n, i, np.int64), np.full(n, h, np.int64), np.full(n, p, np.int32)))
+                rows += n
                 if rows > 100_000:
                     yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*held, strict=True), strict=True)})
                     held, rows = [], 0
             if held:
                 yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*held, strict=True), strict=True)})
 
-    variants = lines.mapInPandas(vary, "key long, role byte, d long, pos int")
-    shared = variants.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    variants = stage(variants.join(shared, "key"), "lines-variants")
-    at = F.struct("d", "pos")
+    variants = lines.mapInPandas(vary, "key long, role byte, d long, x long, pos int")
+    variants = stage(variants.join(_met(variants, "key", "lines-keys"), "key"), "lines-variants")
+    at = F.struct(*PLACE)
     groups = variants.groupBy("key").agg(
         F.min(F.when(F.col("role") == 0, at)).alias("owner"), F.min(F.when(F.col("role") != 0, at)).alias("member")
     )
+    groups = stage(groups, "lines-groups")
     partner = F.when(F.col("role") == 1, F.col("owner")).otherwise(F.col("member"))
     pairs = (
         variants.join(groups, "key")
         .withColumn("partner", partner)
         .where(F.col("partner") < at)
-        .select("d", "pos", F.col("partner.d").alias("pd"), F.col("partner.pos").alias("pp"))
+        .select(*PLACE, *[F.col("partner")[c].alias(f"p{c}") for c in PLACE])
         .distinct()
     )
-    mine = lines
-    other = lines.select(F.col("d").alias("pd"), F.col("pos").alias("pp"), F.col("t").alias("pt"))
-    met = pairs.join(mine, ["d", "pos"]).join(other, ["pd", "pp"])
-    return met.where(F.levenshtein("t", "pt", 1) == 1).select("d", "pos").distinct()
+    other = lines.select(*[F.col(c).alias(f"p{c}") for c in PLACE], F.col("t").alias("pt"))
+    met = pairs.join(lines, PLACE).join(other, [f"p{c}" for c in PLACE])
+    return met.where(F.levenshtein("t", "pt", 1) == 1).select(*PLACE).distinct()
 
 
 def _with_a_window_in_common(lines: DataFrame) -> DataFrame:
-    """(d, pos) of the lines that equal another outside one of the eighths: two lines within one edit do."""
+    """PLACE of the lines that equal another outside one of the eighths: two lines within one edit do."""
     cut = [
         F.expr(f"xxhash64(left(t, {size} * {w} div 8), {w}, right(t, cast({size} - {size} * {w + 1} div 8 as int)), {size})")
         for size in ("n", "(n - 1)")
         for w in range(8)
     ]
-    windows = lines.withColumn("n", F.length("t")).select("d", "pos", F.explode(F.array(*cut)).alias("k"))
-    shared = windows.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
-    return windows.join(shared, "k").select("d", "pos").distinct()
+    windows = lines.withColumn("n", F.length("t")).select(*PLACE, F.explode(F.array(*cut)).alias("k"))
+    return windows.join(_met(windows, "k", "lines-windows"), "k").select(*PLACE).distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", counts: bool = False, min_near: int = MIN_NEAR, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the lines kept; with counts also n_lines and n_removed (null for a null text)."""
     small_batches(docs.sparkSession)
-    firsts = stage(first_lines(docs, id_col), "lines-first")
-    kept = firsts.select("d", "pos").join(near_copies(docs, firsts, id_col), ["d", "pos"], "left_anti")
-    lists = kept.groupBy("d").agg(F.collect_list("pos").alias("kept"))
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    joined = docs.select(F.struct("*").alias("row"), order.alias("d")).join(lists, "d", "left")
+    firsts = stage(first_lines(docs, id_col, min_near), "lines-first")
+    kept = firsts.select(*PLACE).join(near_copies(docs, firsts, id_col, min_near), PLACE, "left_anti")
+    lists = kept.groupBy("d", "x").agg(F.collect_list("pos").alias("kept"))
+    joined = docs.select(F.struct("*").alias("row"), *_unit(id_col)).join(lists, ["d", "x"], "left")
 
     @F.pandas_udf("text string, n_lines int, n_removed int")
     def rebuild(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -191,6 +203,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", counts: bool = False) -
         return out.astype({"n_lines": "Int32", "n_removed": "Int32"})
 
     built = joined.withColumn("built", rebuild(F.col("row")["text"], F.col("kept")))
+    if drop_emptied:
+        blank = F.trim(F.col("built.text"), F.lit(BLANKS)) == ""
+        built = built.where(~F.coalesce(blank & (F.col("built.n_removed") > 0), F.lit(False)))
     columns = []
     for c in docs.columns:
         if c == "text":

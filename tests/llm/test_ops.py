@@ -121,7 +121,7 @@ def one_edit(a, b):
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def lines_brute(texts):
+def lines_brute(texts, min_near=10):
     first, order = {}, []
     for d, text in enumerate(texts):
         for p, line in enumerate(text.split("\n")):
@@ -129,7 +129,7 @@ def lines_brute(texts):
             if t and t not in first:
                 first[t] = (d, p)
                 order.append(t)
-    gone = {t for i, t in enumerate(order) if len(t) >= 10 and any(len(o) >= 10 and one_edit(o, t) for o in order[:i])}
+    gone = {t for i, t in enumerate(order) if len(t) >= min_near and any(len(o) >= min_near and one_edit(o, t) for o in order[:i])}
     return ["\n".join(x for p, x in enumerate(t.split("\n")) if not x.strip(line_dedup.BLANKS) or (first[x.strip(line_dedup.BLANKS)] == (d, p) and x.strip(line_dedup.BLANKS) not in gone)) for d, t in enumerate(texts)]
 
 
@@ -146,6 +146,23 @@ def test_lines_brute(spark):
     assert got == lines_brute(texts)
 
 
+def test_lines_brute_down_to_one_character(spark):
+    rng = random.Random(3)
+    texts = ["\n".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(3)) for _ in range(40)]
+    got = [r["text"] for r in line_dedup.dedup_lines(docs_of(spark, texts), min_near=1).orderBy("doc_id").collect()]
+    assert got == lines_brute(texts, 1) and got != lines_brute(texts)
+
+
+def test_lines_of_ids_with_several_texts(spark):
+    """An id that has two texts, or none, is two documents: a line of one says nothing of the other's at that place."""
+    for i in (7, None):
+        rows = [(1, "the quick brown fox jumps"), (i, "the quick brown fox jumpz\nfirst of its kind"), (i, "an entirely unrelated unique line\nthe quick brown fox jumps"), (i, "a third text, twice"), (i, "a third text, twice")]
+        got = sorted(r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame([(*r, "en", "s", 0) for r in rows], DOCS)).collect())
+        assert got == sorted(["the quick brown fox jumps", "first of its kind", "an entirely unrelated unique line", "a third text, twice", "a third text, twice"])
+    docs = spark.createDataFrame([(1, "one line of text", "en", "s", 0), (2, "one line of text", "en", "s", 0), (3, "one line of text\n \n", "en", "s", 0), (4, "", "en", "s", 0), (5, None, "en", "s", 0), (6, "  ", "en", "s", 0)], DOCS)
+    assert sorted(r["doc_id"] for r in line_dedup.dedup_lines(docs, drop_emptied=True).collect()) == [1, 4, 5, 6]
+
+
 def test_variant_keys_match_real_deletions():
     text = "abca" * 3 + "ß日"
     keys, roles = line_dedup.variant_keys(text)
