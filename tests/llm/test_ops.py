@@ -292,6 +292,28 @@ def test_mixing_odd(spark):
     assert mixing.mix(docs_of(spark, [None, ""])).where("taken > 0").count() == 0
 
 
+def test_mixing_level_equals_plain_water_filling(spark):
+    rng = random.Random(11)
+    for trial in range(4):
+        sizes = {f"s{i:02}": rng.choice([0, 1, 7, 50, 900, 20_000]) for i in range(rng.randrange(1, 40))}
+        rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long"), (5.0, 2.0, 1.0), 1.5, 2.0).collect()
+        weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}
+        want = water_fill(sizes, weights, 1.5 * sum(sizes.values()), 2)
+        assert {r["source"] for r in rows} == set(sizes) and all(r["target"] == pytest.approx(want[r["source"]], abs=1e-5) for r in rows), trial
+
+
+def test_mixing_takes_as_many_of_repeated_rows_as_of_others(spark):
+    rows = [(1, "a b c", "en", "s", i) for i in range(5)] + [(1, "d e f", "en", "s", 9)] + [(None, "g h i", "en", "s", i) for i in range(3)] + [(2 + i, "j k l", "en", "t", 0) for i in range(30)]
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = {}
+    for r in mixing.mix(docs).collect():
+        mixed[r["source"]] = mixed.get(r["source"], 0) + r["copies"]
+    got = mixing.take(docs).collect()
+    assert {s: sum(r["source"] == s for r in got) for s in mixed} == mixed and {tuple(r) for r in got} <= set(rows)
+    times = [sum(tuple(r) == x for r in got) for x in rows[:5]]
+    assert max(times) - min(times) <= 1 and max(times) <= 2
+
+
 # ---- 5 urls --------------------------------------------------------------------------------------------------
 
 
