@@ -1,16 +1,15 @@
 """A corpus pipeline of five stages: toxicity, line dedup, near-duplicate removal, mixing, tokenisation.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's result as Parquet in the
-shared folder and reads it again as the next stage's docs. All stages but the last return the columns of documents.
+shared folder and reads it again as the next stage's docs; what a stage no longer needs is removed. All stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from splitproof.llm import line_dedup, mixing, ngram_join, sentence_pieces, toxicity
-from splitproof.llm.common import stage
+from splitproof.shared import last_staged, remove, removing, stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +19,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier line equals or nearly equals."""
-    return line_dedup.dedup_lines(docs)
+    """Documents without lines that an earlier line equals or nearly equals; those of which no line is left go."""
+    return line_dedup.dedup_lines(docs, drop_emptied=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, so some twice and some not at all."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    taken = mixing.mix(docs, mixing.quality_weights(labels)).where("copies > 0")
-    # rows without an id, and rows that repeat one, take the same number of copies each
-    taken = taken.groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source")
-    same = rows["doc_id"].eqNullSafe(taken["doc_id"]) & rows["source"].eqNullSafe(taken["source"])
-    both = rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
-    return both.select("row.*")
+    return mixing.take(docs, mixing.quality_weights(labels))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        keep: list[str] = []
+        with removing(spark, keep):  # what the stage itself has staged goes once its result is written
+            docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(last_staged())
+        if last:
+            remove(spark, [last])
+        last = keep[0]
     return docs
