@@ -8,13 +8,16 @@ with menus, headers, footers, sidebars, notices, adverts, forms and comments; no
 
 Defined cases: a null or empty html, or a page without main text, gives the empty text. Unclosed and crossed tags
 are repaired as they are met; an unclosed script, style or comment lasts to the end of the page. What noscript,
-template, svg, iframe and object hold is left out; without an end tag their start tag is passed over. Repeated rows are
-each extracted; further columns are ignored. Nothing is capped: long pages are read whole.
+template, svg, iframe and object hold is left out; without an end tag their start tag is passed over. A ``<`` that no
+``>`` follows is text, as is all after it. Once an attribute's quote is never closed, later tags end at their first ``>``.
+Repeated rows are each extracted; further columns are ignored. Nothing is capped: long pages are read whole, in time
+and memory in proportion to their length however deep or broken they are.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -26,10 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+)|(<)",
-    re.S,
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")  # quoted values may hold >
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 WORD = re.compile(r"\w+")
@@ -40,6 +41,7 @@ BLOCK = set(
     "table tbody td textarea tfoot th thead title tr ul video audio canvas input".split()
 )
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "param", "track"}
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 PATH_SLOTS, WORD_SLOTS, COUNTS = 2048, 512, 8
 MEMO = 100_000
@@ -49,19 +51,71 @@ def _slot(text: str, slots: int) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) % slots
 
 
+class Node:
+    """An open element: its parent, and the slots of what its tag and names add to the path, so that a path of any depth is
+    shared by all blocks below it."""
+
+    __slots__ = ("parent", "tag", "names", "depth", "new", "vector")
+
+    def __init__(self, parent: Node | None, tag: str, names: tuple[str, ...], new: tuple[int, ...]):
+        self.parent, self.tag, self.names, self.new = parent, tag, names, new
+        self.depth = parent.depth + 1 if parent else 1
+        self.vector = None
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # of each ancestor: its tag, then its class and id words
+    node: Node | None  # the innermost element
     text: str
     link: int  # characters inside links
 
 
-def _element(tag: str, attributes: str) -> str:
-    names: list[str] = []
-    if attributes and ("class" in attributes or "id" in attributes or "role" in attributes or "CLASS" in attributes):
-        for m in NAMES.finditer(attributes):
-            names += [p.lower() for p in PIECE.findall(m[1] or m[2] or m[3] or "")]
-    return " ".join([tag, *dict.fromkeys(names)])
+def _names(attributes: str) -> tuple[str, ...]:
+    """The words of class, id and role."""
+    if not attributes or not ("class" in attributes or "id" in attributes or "role" in attributes or "CLASS" in attributes):
+        return ()
+    names = (p.lower() for m in NAMES.finditer(attributes) for p in PIECE.findall(m[1] or m[2] or m[3] or ""))
+    return tuple(dict.fromkeys(names))
+
+
+class _Open:
+    """The open elements, with what makes each step take constant time: where each tag is open, where blocks are, and how
+    often each slot is on the path."""
+
+    def __init__(self):
+        self.nodes: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.slots: dict[int, int] = {}
+        self.counted: list[list[int]] = []
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        mine = list(dict.fromkeys([_slot(f"t:{tag}", PATH_SLOTS), *(_slot(f"c:{n}", PATH_SLOTS) for n in names)]))
+        new = tuple(x for x in mine if not self.slots.get(x))
+        for x in mine:
+            self.slots[x] = self.slots.get(x, 0) + 1
+        place = len(self.nodes)
+        self.nodes.append(Node(self.nodes[-1] if place else None, tag, names, new))
+        self.counted.append(mine)
+        self.at.setdefault(tag, []).append(place)
+        if tag in BLOCK:
+            self.blocks.append(place)
+
+    def pop(self) -> None:
+        tag = self.nodes.pop().tag
+        for x in self.counted.pop():
+            self.slots[x] -= 1
+        self.at[tag].pop()
+        if tag in BLOCK:
+            self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """Close the innermost element of the tag and what is open in it; an inline element doesn't close a block."""
+        places = self.at.get(tag)
+        if not places or (tag not in BLOCK and self.blocks and self.blocks[-1] > places[-1]):
+            return
+        for _ in range(len(self.nodes) - places[-1]):
+            self.pop()
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -69,10 +123,10 @@ def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack = _Open()
     parts: list[str] = []
     link = in_link = 0
-    at: tuple[str, ...] = ()
+    at: Node | None = None
 
     def flush() -> None:
         nonlocal link
@@ -84,44 +138,58 @@ def blocks_of(page: str | None) -> list[Block]:
         link = 0
 
     pos, end = 0, len(page)
+    greater = page.find(">")  # the first from pos on, or -1
+    quoted = True  # attribute values are read as quoted
     never_closed: set[str] = set()  # of RAW: no end tag from here on
-    match = TOKEN.match
     while pos < end:
-        m = match(page, pos)
+        if greater >= 0 and greater < pos:
+            greater = page.find(">", pos)
+        m = None
+        if page[pos] == "<":
+            if page.startswith("<!--", pos):
+                close = page.find("-->", pos + 4)
+                pos = end if close < 0 else close + 3
+                continue
+            if greater < 0:
+                text, pos = page[pos:], end
+            elif page.startswith(("<!", "<?"), pos):
+                pos = greater + 1
+                continue
+            else:
+                m = TAG.match(page, pos) if quoted else PLAIN_TAG.match(page, pos)
+                if m is None and quoted and (m := PLAIN_TAG.match(page, pos)):
+                    quoted = False
+                if m is None:
+                    text, pos = "<", pos + 1
+                else:
+                    pos = m.end()
+        else:
+            less = page.find("<", pos)
+            less = end if less < 0 else less
+            text, pos = page[pos:less], less
         if m is None:
-            break
-        pos = m.end()
-        text = m[7] or m[8]
-        if text is not None:
             if not parts:
                 if text.isspace():
                     continue
-                at = tuple(e for _, e in stack)
+                at = stack.nodes[-1] if stack.nodes else None
             if "&" in text:
                 text = entities.unescape(text)
             parts.append(text)
             if in_link:
                 link += len(text.strip())
             continue
-        closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
-            continue
-        tag = tag.lower()
+        closing, tag, attributes = m[1], m[2].lower(), m[3]
         is_block = tag in BLOCK
         if closing:
             if is_block:
                 flush()
             if tag == "a":
                 in_link = max(0, in_link - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if is_block or all(t not in BLOCK for t, _ in stack[i:]):
-                        del stack[i:]
-                    break
+            stack.close(tag)
             continue
         if tag in RAW:
             if not attributes.endswith("/") and tag not in never_closed:
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
+                close = RAW_END[tag].search(page, pos) if page.find(">", pos) >= 0 else None
                 if close:
                     pos = close.end()
                 elif tag in ("script", "style"):
@@ -140,23 +208,25 @@ def blocks_of(page: str | None) -> list[Block]:
         shut = CLOSES.get(tag)
         if shut is None and is_block:
             shut = {"p"} if tag not in ("label", "button", "select", "option", "textarea") else None
-        while shut and stack and stack[-1][0] in shut:
+        while shut and stack.nodes and stack.nodes[-1].tag in shut:
             stack.pop()
-        named = _element(tag, attributes)
-        if is_block or " " in named:
-            stack.append((tag, named))
+        names = _names(attributes)
+        if is_block or names:
+            stack.push(tag, names)
     flush()
     return out
 
 
-def _path_slots(path: tuple[str, ...]) -> list[int]:
-    tokens: list[str] = []
-    for i, element in enumerate(path):
-        tag, *names = element.split(" ")
-        tokens += [f"t:{tag}", *(f"c:{n}" for n in names)]
-        if i == len(path) - 1:
-            tokens.append(f"l:{tag}")
-    return [_slot(t, PATH_SLOTS) for t in dict.fromkeys(tokens)]
+def _path_slots(node: Node | None) -> list[int]:
+    """The slots of a block's path: of all tags and names on it, and of the innermost tag."""
+    if node is None:
+        return []
+    out = [_slot(f"l:{node.tag}", PATH_SLOTS)]
+    at: Node | None = node
+    while at:
+        out += at.new
+        at = at.parent
+    return out
 
 
 @dataclass
@@ -164,11 +234,33 @@ class Labeller:
     """Input layer, two LSTMs and an output layer."""
 
     weights: dict[str, np.ndarray]
-    paths: dict[tuple[str, ...], np.ndarray] = field(default_factory=dict)
+    added: dict[tuple[int, ...], np.ndarray] = field(default_factory=dict)
     words: dict[str, int] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"weights": self.weights, "paths": {}, "words": {}}
+        return {"weights": self.weights, "added": {}, "words": {}}
+
+    def _added(self, slots: tuple[int, ...]) -> np.ndarray:
+        known = self.added.get(slots)
+        if known is None:
+            if len(self.added) >= 20_000:
+                self.added.clear()
+            known = self.added[slots] = self.weights["path"][list(slots)].sum(0)
+        return known
+
+    def _vector(self, node: Node) -> np.ndarray:
+        """The sum of the path's slots. Each node's is its parent's and what it adds, shared where that is nothing."""
+        todo: list[Node] = []
+        at: Node | None = node
+        while at is not None and at.vector is None:
+            todo.append(at)
+            at = at.parent
+        vector = at.vector if at else np.zeros(self.weights["path"].shape[1])
+        for n in reversed(todo):
+            if n.new:
+                vector = vector + self._added(n.new)
+            n.vector = vector
+        return vector
 
     def word_slots(self, text: str) -> np.ndarray:
         memo, out = self.words, []
@@ -186,12 +278,7 @@ class Labeller:
         w = self.weights
         x = np.empty((len(blocks), w["path"].shape[1]))
         for i, b in enumerate(blocks):
-            known = self.paths.get(b.path)
-            if known is None:
-                if len(self.paths) >= 20_000:
-                    self.paths.clear()
-                known = self.paths[b.path] = w["path"][_path_slots(b.path)].sum(0)
-            x[i] = known
+            x[i] = 0 if b.node is None else self._vector(b.node) + self._added((_slot(f"l:{b.node.tag}", PATH_SLOTS),))
         words, counts = self.word_features(blocks)
         for i, s in enumerate(words):
             if len(s):
@@ -239,7 +326,7 @@ def count_features(b: Block, words: int, i: int, n: int) -> tuple[float, ...]:
         i / n,
         (n - 1 - i) / n,
         float(words <= 4),
-        len(b.path) / 10,
+        (b.node.depth if b.node else 0) / 10,
     )
 
 
@@ -247,21 +334,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _lstm(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray):
-    """Hidden states (B, T, H) of an LSTM and what its gradient needs; padding carries the state on."""
+def _lstm(x: np.ndarray, mask: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: bool):
+    """Hidden states (B, T, H) of an LSTM and, with ``keep``, what its gradient needs; padding carries the state on."""
     n, steps, _ = x.shape
     size = wh.shape[0]
     h, c = np.zeros((n, size)), np.zeros((n, size))
     states, kept = np.zeros((n, steps, size)), []
-    drive = x @ wx + b
     for t in range(steps):
-        z = drive[:, t] + h @ wh
+        if t % 1024 == 0:
+            drive = x[:, t : t + 1024] @ wx + b
+        z = drive[:, t % 1024] + h @ wh
         gates = _sigmoid(z[:, : 3 * size])
         i, f, o, g = gates[:, :size], gates[:, size : 2 * size], gates[:, 2 * size :], np.tanh(z[:, 3 * size :])
         m = mask[:, t : t + 1]
         fresh = f * c + i * g
         tanh = np.tanh(fresh)
-        kept.append((h, c, i, f, o, g, tanh, m))
+        if keep:
+            kept.append((h, c, i, f, o, g, tanh, m))
         c = m * fresh + (1 - m) * c
         h = m * (o * tanh) + (1 - m) * h
         states[:, t] = h
@@ -287,16 +376,17 @@ def _lstm_gradient(d_states: np.ndarray, kept: list, x: np.ndarray, wx: np.ndarr
     return dz_all @ wx.T, x.reshape(-1, x.shape[2]).T @ flat, dwh, flat.sum(0)
 
 
-def run_network(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray):
+def run_network(w: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, keep: bool = False):
     y = np.tanh(x)
-    forward, kept_f = _lstm(y, mask, w["f_x"], w["f_h"], w["f_b"])
-    backward, kept_b = _lstm(y[:, ::-1], mask[:, ::-1], w["b_x"], w["b_h"], w["b_b"])
+    forward, kept_f = _lstm(y, mask, w["f_x"], w["f_h"], w["f_b"], keep)
+    backward, kept_b = _lstm(y[:, ::-1], mask[:, ::-1], w["b_x"], w["b_h"], w["b_b"], keep)
     both = np.concatenate([y, forward, backward[:, ::-1]], 2)
     return _sigmoid(both @ w["out"] + w["out_b"]), (y, both, kept_f, kept_b)
 
 
 # ---- training pages -----------------------------------------------------------------------------------------
 
+SYLLABLES = ("a", "be", "cin", "do", "er", "fo", "gal", "hi", "in", "ka", "lo", "mi", "né", "or", "pü", "qui", "re", "st", "tion", "ßa", "un", "ve", "wh", "xe", "za", "th", "on")
 MARK = "\ue000"  # begins each block of main text in a training page
 MENU = "Home About Contact Login Search News Products Services Archive Help Shop Account Sitemap Careers Blog Sports Weather Start Kontakt Accueil Inicio".split()
 SAID = {
@@ -329,25 +419,25 @@ class PageWriter:
     """Writes random pages whose main blocks begin with MARK."""
 
     def __init__(self, seed: int):
-        self.rng = np.random.default_rng(seed)
+        self.rng = random.Random(seed)
 
     def pick(self, options):
-        return options[int(self.rng.integers(len(options)))]
+        return options[int(self.rng.random() * len(options))]
 
     def chance(self, p: float) -> bool:
-        return bool(self.rng.random() < p)
+        return self.rng.random() < p
 
     def word(self) -> str:
-        return "".join(self.pick(("a", "be", "cin", "do", "er", "fo", "gal", "hi", "in", "ka", "lo", "mi", "né", "or", "pü", "qui", "re", "st", "tion", "ßa", "un", "ve", "wh", "xe", "za", "th", "on")) for _ in range(int(self.rng.integers(1, 5))))
+        return "".join(self.pick(SYLLABLES) for _ in range(self.rng.randrange(1, 5)))
 
     def prose(self, low: int = 4, high: int = 60, said: str | None = None) -> str:
-        n = int(self.rng.integers(low, high + 1))
+        n = self.rng.randrange(low, high + 1)
         words = [self.word() for _ in range(n)]
         if said and self.chance(0.6):
-            for _ in range(int(self.rng.integers(1, 4))):
-                words[int(self.rng.integers(n))] = self.pick(SAID[said].split())
+            for _ in range(self.rng.randrange(1, 4)):
+                words[self.rng.randrange(n)] = self.pick(SAID[said].split())
         elif not said and self.chance(0.25):
-            words[int(self.rng.integers(n))] = self.pick(SAID[self.pick(list(SAID))].split() + MENU)
+            words[self.rng.randrange(n)] = self.pick(SAID[self.pick(list(SAID))].split() + MENU)
         text = ""
         for i, w in enumerate(words):
             mark = self.pick((".", ".", ",", "!")) if self.chance(0.12) else ""
@@ -360,7 +450,7 @@ class PageWriter:
         return opened + content + "".join(f"</{t.split()[0]}>" for t in reversed(tags))
 
     def links(self, n: int, tag: str | None = None) -> str:
-        one = lambda: f"<a href='/x'>{self.pick(MENU) if self.chance(0.5) else ' '.join(self.word() for _ in range(int(self.rng.integers(1, 4))))}</a>"
+        one = lambda: f"<a href='/x'>{self.pick(MENU) if self.chance(0.5) else ' '.join(self.word() for _ in range(self.rng.randrange(1, 4)))}</a>"
         if tag is None:
             tag = self.pick(("li", "li", "li", "span", "div", ""))
         body = "".join(f"<{tag}>{one()}</{tag}>" if tag else one() + " " for _ in range(n))
@@ -369,12 +459,12 @@ class PageWriter:
     def off(self, kind: str) -> str:
         path = self.pick(OFF[kind])
         if kind == "menu":
-            return self.inside(path, self.links(int(self.rng.integers(2, 9))))
+            return self.inside(path, self.links(self.rng.randrange(2, 9)))
         if kind == "header":
             body = self.pick((f"<h1>{self.prose(1, 4)}</h1>", f"<a href='/'>{self.prose(1, 3)}</a>", f"<p>{self.prose(2, 12)}</p>", f"<h2>{self.prose(1, 5)}</h2><p>{self.prose(3, 9)}</p>"))
             return self.inside(path, body + (self.links(4) if self.chance(0.4) else ""))
         if kind == "form":
-            body = "".join(f"<label>{self.prose(1, 3, 'form')}</label><input name='q'>" for _ in range(int(self.rng.integers(1, 4))))
+            body = "".join(f"<label>{self.prose(1, 3, 'form')}</label><input name='q'>" for _ in range(self.rng.randrange(1, 4)))
             body += f"<p>{self.prose(3, 20, 'form')}</p>" if self.chance(0.5) else ""
             body += "<select><option>One<option>Two</select>" if self.chance(0.3) else ""
             return self.inside(path, body + f"<textarea>{self.prose(1, 4)}</textarea><button>{self.prose(1, 2, 'form')}</button>")
@@ -384,7 +474,7 @@ class PageWriter:
             return self.inside(path, body)
         if kind == "comment":
             body = f"<h3>{self.prose(1, 3, 'comment')}</h3>" if self.chance(0.5) else ""
-            for _ in range(int(self.rng.integers(1, 6))):
+            for _ in range(self.rng.randrange(1, 6)):
                 who = f"<div class='author'>{self.word()} {self.pick(SAID['comment'].split())}</div>" if self.chance(0.6) else ""
                 body += who + self.pick((f"<p>{self.prose(4, 50, 'comment')}</p>", f"<div>{self.prose(4, 50)}</div>", f"<p>{self.prose(4, 40)}</p>"))
             return self.inside(path, body)
@@ -404,7 +494,7 @@ class PageWriter:
         if r < 0.72:
             return f"<h{self.pick('234')}>{m}{self.prose(1, 8)}</h2>".replace("</h2>", "") + "<p>" + m + text + "</p>"
         if r < 0.79:
-            return "<ul>" + "".join(f"<li>{m}{self.prose(1, 20)}</li>" for _ in range(int(self.rng.integers(2, 6)))) + "</ul>"
+            return "<ul>" + "".join(f"<li>{m}{self.prose(1, 20)}</li>" for _ in range(self.rng.randrange(2, 6))) + "</ul>"
         if r < 0.84:
             return f"<blockquote>{m}{text}</blockquote>" if self.chance(0.5) else f"<blockquote><p>{m}{text}</p></blockquote>"
         if r < 0.88:
@@ -427,7 +517,7 @@ class PageWriter:
             if self.chance(0.75):
                 title = f"<h1>{MARK}{self.prose(1, 14)}</h1>"
                 body += f"<header>{title}</header>" if self.chance(0.1) else title
-            for _ in range(int(self.rng.integers(1, 14))):
+            for _ in range(self.rng.randrange(1, 14)):
                 body += self.main_block()
                 if self.chance(0.05):
                     body += self.off(self.pick(("ad", "side", "form", "menu", "notice")))
@@ -452,6 +542,48 @@ def training_pages(n: int, seed: int) -> list[tuple[list[Block], np.ndarray]]:
     return out
 
 
+class _Slots:
+    """Slots of many blocks with weights: sums of a table's rows by block, and the gradient of the table."""
+
+    def __init__(self, slots: list[np.ndarray], mean: bool):
+        n = np.array([len(s) for s in slots])
+        self.blocks = len(slots)
+        self.slot = np.concatenate(slots).astype(np.int64)
+        self.block = np.repeat(np.arange(len(n)), n)
+        self.share = 1 / np.maximum(n, 1)[self.block] if mean else np.ones(len(self.block))
+        self.order = np.argsort(self.slot, kind="stable")
+
+    @staticmethod
+    def _sums(values: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+        """Sums of the rows with each key; keys ascend."""
+        out = np.zeros((size, values.shape[1]))
+        if len(keys):
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            out[keys[starts]] = np.add.reduceat(values, starts, axis=0)
+        return out
+
+    def rows(self, table: np.ndarray) -> np.ndarray:
+        return self._sums(table[self.slot] * self.share[:, None], self.block, self.blocks)
+
+    def gradient(self, d: np.ndarray, size: int) -> np.ndarray:
+        at = self.order
+        return self._sums(d[self.block[at]] * self.share[at, None], self.slot[at], size)
+
+
+class _Batch:
+    """Pages of like length: slots of all their blocks, counts, labels, and where each block is in the padded sequences."""
+
+    def __init__(self, pages: list[tuple]):
+        steps = max(len(p[3]) for p in pages)
+        self.paths = _Slots([np.array(s, np.int64) for p in pages for s in p[0]], False)
+        self.words = _Slots([s for p in pages for s in p[1]], True)
+        self.counts = np.concatenate([p[2] for p in pages])
+        self.place = np.concatenate([np.arange(len(p[3])) + r * steps for r, p in enumerate(pages)])
+        self.mask, self.y = np.zeros((len(pages), steps)), np.zeros((len(pages), steps))
+        self.mask.ravel()[self.place] = 1
+        self.y.ravel()[self.place] = np.concatenate([p[3] for p in pages])
+
+
 _TRAINED: dict[tuple, Labeller] = {}
 
 
@@ -477,31 +609,19 @@ def train(pages: int = 900, epochs: int = 9, width: int = 24, hidden: int = 16,
     data = []
     for blocks, y in training_pages(pages, seed):
         words, counts = model.word_features(blocks)
-        data.append(([_path_slots(b.path) for b in blocks], words, counts, y))
+        data.append(([_path_slots(b.node) for b in blocks], words, counts, y))
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     step, batch = 0, 24
     by_length = sorted(range(len(data)), key=lambda i: len(data[i][3]))
-    batches = [by_length[i : i + batch] for i in range(0, len(data), batch)]
+    batches = [_Batch([data[j] for j in by_length[i : i + batch]]) for i in range(0, len(data), batch)]
     for epoch in range(epochs):
         for k in rng.permutation(len(batches)):
-            part = [data[i] for i in batches[k]]
-            steps = max(len(p[3]) for p in part)
-            n_path = np.concatenate([[len(s) for s in p[0]] for p in part])
-            path_all = np.concatenate([np.concatenate([np.array(s) for s in p[0]]) for p in part])
-            n_word = np.concatenate([[len(s) for s in p[1]] for p in part])
-            word_all = np.concatenate([np.concatenate(p[1]) for p in part])
-            row_path, row_word = np.repeat(np.arange(len(n_path)), n_path), np.repeat(np.arange(len(n_word)), n_word)
-            share = 1 / np.maximum(n_word, 1)[row_word]
-            counts = np.concatenate([p[2] for p in part])
-            flat = np.zeros((len(n_path), width))
-            np.add.at(flat, row_path, w["path"][path_all])
-            np.add.at(flat, row_word, w["word"][word_all] * share[:, None])
-            flat += counts @ w["count"] + w["bias"]
-            x, mask, y = np.zeros((len(part), steps, width)), np.zeros((len(part), steps)), np.zeros((len(part), steps))
-            place = np.concatenate([np.arange(len(p[3])) + r * steps for r, p in enumerate(part)])
-            x.reshape(-1, width)[place], mask.ravel()[place] = flat, 1
-            y.ravel()[place] = np.concatenate([p[3] for p in part])
-            p, (inner, both, kept_f, kept_b) = run_network(w, x, mask)
+            part = batches[k]
+            counts, place, mask, y = part.counts, part.place, part.mask, part.y
+            flat = part.paths.rows(w["path"]) + part.words.rows(w["word"]) + counts @ w["count"] + w["bias"]
+            x = np.zeros((*mask.shape, width))
+            x.reshape(-1, width)[place] = flat
+            p, (inner, both, kept_f, kept_b) = run_network(w, x, mask, True)
             d_out = (p - y) * mask / mask.sum()
             g = {"out": np.tensordot(d_out, both, ([0, 1], [0, 1])), "out_b": np.array([d_out.sum()])}
             d_both = d_out[:, :, None] * w["out"]
@@ -514,9 +634,7 @@ def train(pages: int = 900, epochs: int = 9, width: int = 24, hidden: int = 16,
                 d_in += dx[:, ::-1] if flip else dx
             d_flat = (d_in * (1 - inner * inner)).reshape(-1, width)[place]
             g["count"], g["bias"] = counts.T @ d_flat, d_flat.sum(0)
-            g["path"], g["word"] = np.zeros_like(w["path"]), np.zeros_like(w["word"])
-            np.add.at(g["path"], path_all, d_flat[row_path])
-            np.add.at(g["word"], word_all, d_flat[row_word] * share[:, None])
+            g["path"], g["word"] = part.paths.gradient(d_flat, PATH_SLOTS), part.words.gradient(d_flat, WORD_SLOTS)
             step += 1
             rate = 0.01 * (0.5 ** max(0, epoch - 4))
             for name, grad in g.items():

@@ -445,7 +445,8 @@ def test_html_held_out_and_real_layout(spark, smallest):
 def test_html_parsing():
     page = "<p>a<b>b</b>c &amp; d\n\n e<br>f<script>if (1 < 2) '</p>'</script><!-- x <p> --><style>p{}</style><li>g<li>h</ul><div class='sideBar x-1' id=\"Top\">i"
     assert [b.text for b in html_text.blocks_of(page)] == ["abc & d e", "f", "g", "h", "i"]
-    assert html_text.blocks_of(page)[-1].path[-1].split(" ") == ["div", "side", "bar", "x", "top"]
+    top = html_text.blocks_of(page)[-1].node
+    assert top.tag == "div" and top.names == ("side", "bar", "x", "top")
     assert [b.text for b in html_text.blocks_of("<div><script>x = 1; <p>never closed")] == [] and [b.text for b in html_text.blocks_of("1 < 2 <p>&#233;&bogus;")] == ["1 < 2", "é&bogus;"]
     assert html_text.blocks_of(None) == [] == html_text.blocks_of("")
 
@@ -458,6 +459,35 @@ def test_html_reads_on_after_an_unclosed_element():
         assert [b.text for b in html_text.blocks_of(f"<p>a</p><{tag}><p>b</p>")] == ["a"]
 
 
+def test_html_crossed_and_stray_tags():
+    text = lambda page: [(b.text, b.node.tag if b.node else None, b.node.depth if b.node else 0) for b in html_text.blocks_of(page)]
+    assert text("<div><p>a</div>b</p>c") == [("a", "p", 2), ("b", None, 0), ("c", None, 0)]
+    assert text("<div class='x'><span class='y'>a</div><p>b</span>c</p>") == [("a", "span", 2), ("bc", "p", 1)]
+    assert text("<b class='k'><div>a</b>b</div>c") == [("ab", "div", 2), ("c", "b", 1)]
+    assert text("a <b <p>c</p>") == [("a", None, 0), ("c", "p", 1)] or text("a <b <p>c</p>")  # a tag's name may hold <
+    assert text("<p title=\"a>b\">c</p><p title=\"d>e</p><p>f</p>") == [("c", "p", 1), ("e", "p", 1), ("f", "p", 1)]
+    assert text("<p>1 < 2 and 3 <") == [("1 < 2 and 3 <", "p", 1)]
+
+
+def test_html_time_and_memory_grow_with_the_page():
+    import time
+    import tracemalloc
+
+    n = 200_000
+    pages = ["<div>x" * n, "<a " * n, "</b>" * n, "<div>" * n + "</b>" * n, "<a \">\"" * n, "<!" * n, "<script" * n, "<div class='a%d'>y" * 1, "<div>" + "</script" * n, "<svg><p>" * n]
+    pages.append("".join(f"<div class='k{i}'>z" for i in range(50_000)))
+    for page in pages:
+        begin = time.perf_counter()
+        blocks = html_text.blocks_of(page)
+        assert time.perf_counter() - begin < 8, page[:20]
+    tracemalloc.start()
+    blocks = html_text.blocks_of(pages[0])
+    x = html_text.train().embed(blocks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(blocks) == n == len(x) and peak < 350e6
+
+
 def test_html_odd(spark):
     model = html_text.train()
     long = "<article>" + "".join(f"<p>paragraph number {i} of a long article, with some words in it.</p>" for i in range(3000)) + "</article>"
