@@ -4,10 +4,12 @@ A word that the model knows is scored by its log frequency in each language. An
 character n-grams, from the longest size down: the first size of which the model knows any n-gram decides.
 A document's score in a language is the mean over its words; the highest wins.
 
-The model is fitted on the word counts of a bounded sample of labelled documents (``max_docs``, an equal share of
-each language drawn by a hash of the id, whole texts), on the most frequent words of each language (4 * ``max_words``
-in all, a word counting at most 50 times for its n-grams), and holds at most ``max_words`` words and ``max_grams`` n-grams of each size, so that its
-broadcast is bounded at every input size. All documents are predicted, over their whole texts.
+The model is fitted on the words of a bounded sample of labelled documents: ``max_docs``, an equal share of each
+language drawn by a hash of the id, whole texts. It holds the ``max_words`` words and, of each size, the ``max_grams``
+n-grams that are most frequent in the sample (frequency is relative to the words of the language, so that no
+language crowds out another), so that its broadcast is bounded at every input size. Frequencies are taken of all words
+of the sample; an n-gram counts once for each place in each different word. Words and n-grams are counted in the job;
+only the tables come to the driver. All documents are predicted, over their whole texts.
 
 Defined cases: a null text or one without a letter gives ``und`` and score 0; so does every document when there
 is nothing to learn from. Ties between languages go to the smaller name. Null ids are kept, never learnt from.
@@ -26,10 +28,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stage
 
 WORD = re.compile(r"[^\W\d_]+")
 SIZES = (5, 4, 3, 2, 1)
+SMOOTH = 0.02
 MEMO = 150_000  # words whose scores a Python worker keeps
 UNKNOWN = "und"
 
@@ -83,19 +86,6 @@ class BackoffModel:
         return self.languages[best], spread[best] / sum(spread)
 
 
-def _table(counts: dict[str, np.ndarray], totals: np.ndarray, keep: int) -> dict[str, tuple[float, ...]]:
-    """Log of smoothed relative frequencies of the ``keep`` most frequent entries."""
-    if len(counts) > keep:
-        ranked = sorted(counts.items(), key=lambda kv: (-kv[1].sum(), kv[0]))[:keep]
-    else:
-        ranked = sorted(counts.items())
-    if not ranked:
-        return {}
-    m = np.array([v for _, v in ranked], float)
-    logs = np.log((m + 0.02) / (totals[None, :] + 0.02 * (len(ranked) + 1)))
-    return {k: tuple(row) for (k, _), row in zip(ranked, logs.tolist(), strict=True)}
-
-
 def equal_share(counts: list[int], limit: int) -> int:
     """The largest number that, taken of each count or else the whole count, sums to at most ``limit``; 1 at least."""
     left = limit
@@ -138,36 +128,45 @@ def fit(
             for lang, c in by.items():
                 yield pd.DataFrame({"lang": [lang] * len(c), "word": list(c), "n": list(c.values())})
 
-    rows = (
+    words = stage(
         picked.select("text", "lang")
         .mapInPandas(count, "lang string, word string, n long")
         .groupBy("lang", "word")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("n").cast("double").alias("n")),
+        "language-words",
     )
-    # the most frequent words of each language, 4 * max_words of all languages: bounded by the sample
-    share = max(1, 4 * max_words // max(1, len(counts)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    pdf = rows.withColumn("place", place).where(F.col("place") <= share).drop("place").orderBy(F.desc("n"), "word", "lang").toPandas()
-    languages = sorted(pdf["lang"].unique())
-    at = {lang: i for i, lang in enumerate(languages)}
-    words: dict[str, np.ndarray] = {}
-    for lang, word, n in zip(pdf["lang"], pdf["word"], pdf["n"], strict=True):
-        words.setdefault(word, np.zeros(len(languages)))[at[lang]] += n
-    totals = sum(words.values()) if words else np.zeros(len(languages))
-    grams: list[dict[str, tuple[float, ...]]] = []
-    for size in SIZES:
-        seen: dict[str, np.ndarray] = {}
-        for word, v in words.items():
-            marked = f"<{word}>"
-            u = np.minimum(v, 50.0)
-            for i in range(len(marked) - size + 1):
-                g = marked[i : i + size]
-                if g in seen:
-                    seen[g] = seen[g] + u
-                else:
-                    seen[g] = u
-        grams.append(_table(seen, sum(seen.values()) if seen else totals, max_grams))
-    return BackoffModel(languages, _table({w: v for w, v in words.items() if v.sum() >= 3}, totals, max_words), grams)
+    pieces = words.select("lang", F.concat(F.lit("<"), "word", F.lit(">")).alias("w")).withColumn("size", F.explode(F.array(*[F.lit(s) for s in SIZES])))
+    pieces = pieces.where(F.length("w") >= F.col("size")).select("size", "lang", "w", F.explode(F.expr("sequence(1, length(w) - size + 1)")).alias("at"))
+    grams = pieces.groupBy("size", "lang", F.expr("substring(w, at, size)").alias("key")).agg(F.count("*").cast("double").alias("n"))
+    counts = stage(words.select(F.lit(0).alias("size"), "lang", F.col("word").alias("key"), "n").unionByName(grams), "language-counts")
+    return _model(counts, max_words, max_grams)
+
+
+def _model(counts: DataFrame, max_words: int, max_grams: int) -> BackoffModel:
+    """Logs of smoothed relative frequencies, by language, of the words (size 0) and n-grams with the largest share of any
+    language. ``counts``: size, lang, key, n, of the bounded sample."""
+    # one row for each size and language
+    totals = {(r["size"], r["lang"]): r["n"] for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted({lang for _, lang in totals})
+    if not languages:
+        return BackoffModel([], {}, [{} for _ in SIZES])
+    known = F.create_map(*[x for (size, lang), n in totals.items() for x in (F.lit(f"{size} {lang}"), F.lit(n))])
+    share = F.col("n") / F.element_at(known, F.concat(F.col("size").cast("string"), F.lit(" "), "lang"))
+    each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0.0)) for lang in languages]
+    rows = counts.withColumn("share", share).groupBy("size", "key").agg(F.max("share").alias("share"), F.array(*each).alias("n"))
+    place = F.row_number().over(Window.partitionBy("size").orderBy(F.desc("share"), "key"))
+    keep = F.when(F.col("size") == 0, max_words).otherwise(max_grams)
+    top = rows.withColumn("place", place).where(F.col("place") <= keep).select("size", "key", "n").toPandas()  # what is kept
+
+    def table(size: int) -> dict[str, tuple[float, ...]]:
+        part = top[top["size"] == size]
+        if not len(part):
+            return {}
+        whole = np.array([totals.get((size, lang), 0.0) for lang in languages]) + SMOOTH * (len(part) + 1)
+        logs = np.log((np.array(part["n"].tolist(), float) + SMOOTH) / whole[None, :])
+        return dict(zip(part["key"], map(tuple, logs.tolist()), strict=True))
+
+    return BackoffModel(languages, table(0), [table(size) for size in SIZES])
 
 
 def identify(docs: DataFrame, model: BackoffModel, id_col: str = "doc_id") -> DataFrame:

@@ -2,20 +2,22 @@
 
 Categories are predicted one after the other: the model of each takes the text's features and the probabilities
 of the categories before it. For training, those probabilities are out-of-fold predictions, so that a later model
-sees them as they will be on unseen texts. Features are the presence of words and word beginnings (3 to 6 letters)
-hashed to 2^20 slots; only slots whose share differs between toxic and clean training texts beyond chance
-are used, so that a long text doesn't gather noise.
+sees them as they will be on unseen texts. The last category is the toxicity flag: a document is toxic by the last
+link's probability. Features are the presence of words and word beginnings (3 to 6 letters) hashed to 2^20 slots; only
+slots whose share differs between toxic and clean training texts beyond chance (``surprise`` standard errors, ``lift``
+times the share) are used, so that a long text doesn't gather noise, and of these at most ``max_features``.
 
 The models are fitted on a bounded sample of labelled rows: at most ``per_class`` toxic and clean ones, drawn by a
 hash of the id, whole texts. Every document is scored over its whole text.
 
-Where labels hold one flag only, as here, graded categories are derived from it on the training sample:
-``toxic`` (the flag), ``repeated`` (toxic, and telling terms occur at least as often as in the median toxic text)
-and ``dense`` (the same for their share of the words).
+The chain of CATEGORIES: ``low_quality`` (the quality label is 0), ``repeated`` (toxic, and telling terms occur at least as
+often as in the median toxic text) and ``dense`` (the same for their share of the words), which grade the flag where labels
+hold no grades, then ``toxic``.
 
 Defined cases: a null or empty text has no features and gets the chain's probabilities of an empty text, and is
 never flagged. Without labelled rows of both classes nothing is flagged. Null ids are scored, never learnt from.
-Contradicting labels of one id count as toxic. Repeated rows are each scored. Further columns are ignored.
+Contradicting labels of one id count as toxic, and as of low quality; no quality label counts as good. Repeated rows are
+each scored; of an id with several texts one is learnt from. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from .common import bounded_draw, small_batches
 
 WORD = re.compile(r"\w+")
 SLOTS = 1 << 20
-CATEGORIES = ("toxic", "repeated", "dense")
+CATEGORIES = ("low_quality", "repeated", "dense", "toxic")
 FOLDS = 5
 MEMO = 60_000
 _memo: dict[str, tuple[int, ...]] = {}
@@ -115,12 +117,15 @@ class ToxicityChain:
         cls,
         rows: list[tuple[np.ndarray, np.ndarray, int]],
         toxic: np.ndarray,
-        max_features: int = 512,
+        low_quality: np.ndarray | None = None,
+        max_features: int = 4096,
         surprise: float = 5.0,
+        lift: float = 6.0,
         seed: int = 1,
     ) -> ToxicityChain:
-        """``toxic``: 0/1 flags. Categories after the first are derived from the flag and the telling terms."""
+        """``toxic``, ``low_quality``: 0/1 flags. The graded categories are derived from the flag and the telling terms."""
         toxic = np.asarray(toxic, float)
+        low_quality = np.zeros(len(toxic)) if low_quality is None else np.asarray(low_quality, float)
         n1, n0 = toxic.sum(), (1 - toxic).sum()
         if not n1 or not n0:
             return cls(CATEGORIES, np.empty(0, np.int32), [])
@@ -130,14 +135,14 @@ class ToxicityChain:
             (in_toxic if t else in_clean)[slots] += 1
         pooled = (in_toxic + in_clean) / (n1 + n0)
         z = (in_toxic / n1 - in_clean / n0) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n1 + 1 / n0))
-        lift = ((in_toxic + 0.5) / (n1 + 1)) / ((in_clean + 0.5) / (n0 + 1))
-        telling = np.flatnonzero((z >= surprise) & (lift >= 6))
+        ratio = ((in_toxic + 0.5) / (n1 + 1)) / ((in_clean + 0.5) / (n0 + 1))
+        telling = np.flatnonzero((z >= surprise) & (ratio >= lift))
         telling = telling[np.argsort(-z[telling], kind="stable")[:max_features]]
         chain = cls(CATEGORIES, np.sort(telling).astype(np.int32), [])
         x = chain.matrix(rows)
         amount, share = x[:, -2], x[:, -1]
         middle = [np.median(v[toxic == 1]) for v in (amount, share)]
-        targets = [toxic, toxic * (amount >= middle[0]), toxic * (share >= middle[1])]
+        targets = [low_quality, toxic * (amount >= middle[0]), toxic * (share >= middle[1]), toxic]
         fold = np.random.default_rng(seed).permutation(len(rows)) % FOLDS
         for y in targets:
             out_of_fold = np.zeros(len(rows))
@@ -155,11 +160,12 @@ def fit_chain(docs: DataFrame, labels: DataFrame, per_class: int = 2_000) -> Tox
     flags = (
         labels.where("doc_id is not null and toxic is not null")
         .groupBy(F.col("doc_id").alias("id"))
-        .agg(F.max("toxic").cast("int").alias("toxic"))
+        .agg(F.max("toxic").cast("int").alias("toxic"), F.max((F.col("quality") == 0).cast("int")).alias("low"))
     )
-    chosen = bounded_draw(flags.where("toxic > 0"), "id", per_class, 23).withColumn("toxic", F.lit(1)).unionByName(
+    drawn = bounded_draw(flags.where("toxic > 0"), "id", per_class, 23).withColumn("toxic", F.lit(1)).unionByName(
         bounded_draw(flags.where("toxic <= 0"), "id", per_class, 23).withColumn("toxic", F.lit(0))
     )
+    chosen = drawn.join(flags.select("id", F.coalesce("low", F.lit(0)).alias("low")), "id")
 
     def extract(batches):
         for pdf in batches:
@@ -168,6 +174,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, per_class: int = 2_000) -> Tox
                 {
                     "draw": pdf["draw"],
                     "toxic": pdf["toxic"],
+                    "low": pdf["low"],
                     "slots": [o[0].tobytes() for o in out],
                     "counts": [o[1].tobytes() for o in out],
                     "words": [o[2] for o in out],
@@ -177,13 +184,13 @@ def fit_chain(docs: DataFrame, labels: DataFrame, per_class: int = 2_000) -> Tox
     small_batches(docs.sparkSession)
     # the sampled ids are at most 2 * per_class rows: small enough to send to every task
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
-    got = rows.mapInPandas(extract, "draw long, toxic int, slots binary, counts binary, words int").toPandas()
+    got = rows.mapInPandas(extract, "draw long, toxic int, low int, slots binary, counts binary, words int").toPandas()
     got = got.sort_values(["draw", "slots"], kind="stable").drop_duplicates("draw")
     parsed = [
         (np.frombuffer(s, np.int32), np.frombuffer(c, np.int32), w)
         for s, c, w in zip(got["slots"], got["counts"], got["words"], strict=True)
     ]
-    return ToxicityChain.fit(parsed, got["toxic"].to_numpy())
+    return ToxicityChain.fit(parsed, got["toxic"].to_numpy(), got["low"].to_numpy())
 
 
 def score(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) -> DataFrame:
@@ -199,7 +206,7 @@ def score(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) -> Data
             p = c.predict(rows)
             out = pd.DataFrame(p, columns=names)
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            out.insert(1, "toxic", (p[:, 0] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
+            out.insert(1, "toxic", (p[:, -1] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
             yield out
         _memo.clear()  # the worker lives on for other operators
 
@@ -218,7 +225,7 @@ def drop_toxic(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) ->
         for texts in batches:
             rows = [features(t) for t in texts]
             p = shared.value.predict(rows)
-            yield pd.Series((p[:, 0] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
+            yield pd.Series((p[:, -1] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
         _memo.clear()  # the worker lives on for other operators
 
     return docs.where(~F.pandas_udf(flagged, "boolean")("text"))

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -208,11 +209,42 @@ def test_toxicity_held_out(spark):
     chain = toxicity.fit_chain(docs, labels.where("doc_id < 200"))
     rows = toxicity.score(docs.where("doc_id >= 200"), chain).collect()
     assert all(r["toxic"] == (r["doc_id"] % 4 == 0) for r in rows)
-    assert len(chain.weights) == 3 and [len(w) - len(chain.weights[0]) for w in chain.weights] == [0, 1, 2]
+    assert len(chain.weights) == 4 and [len(w) - len(chain.weights[0]) for w in chain.weights] == [0, 1, 2, 3]
     kept = toxicity.drop_toxic(docs, chain)
     assert kept.columns == docs.columns and kept.where("doc_id % 4 = 0").count() == 0 and kept.count() == 225
 
 
+def chain_brute(chain, text):
+    """The chain's probabilities, link by link, in plain Python."""
+    words = re.findall(r"\w+", text.lower())
+    slots = [zlib.crc32(p.encode()) % toxicity.SLOTS for w in words for p in ["=" + w, *("^" + w[:n] for n in range(3, min(6, len(w)) + 1))]]
+    known = {int(s): i for i, s in enumerate(chain.chosen)}
+    x = [0.0] * len(known)
+    for s in slots:
+        if s in known:
+            x[known[s]] = 1.0
+    n = sum(s in known for s in slots)
+    x += [math.log1p(n), math.log1p(100 * n / max(len(words), 1))]
+    out = []
+    for w in chain.weights:
+        z = sum(a * b for a, b in zip(x + out, w[:-1], strict=True)) + w[-1]
+        out.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    return out
+
+
+def test_toxicity_chain_brute(spark):
+    docs, labels = toxic_corpus(spark, 160)
+    labels = labels.withColumn("quality", (F.col("doc_id") % 3 > 0).cast("int"))
+    chain = toxicity.fit_chain(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in toxicity.score(docs, chain).collect():
+        want = chain_brute(chain, texts[r["doc_id"]])
+        assert [r[f"p_{c}"] for c in toxicity.CATEGORIES] == pytest.approx(want, abs=1e-9)
+        assert r["toxic"] == (want[-1] >= 0.5)
+    earlier = chain.weights[-1][-4:-1]
+    assert np.abs(earlier).max() > 0.01  # the flag hears the links before it
+
+
 def test_toxicity_odd(spark):
     docs, labels = toxic_corpus(spark, 120)
     chain = toxicity.fit_chain(docs, labels.unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None), (999, 1, 1)], EMPTY_LABELS)))
@@ -251,6 +283,51 @@ def test_language_sample_is_drawn_per_language(spark):
     assert language_id.equal_share([3000, 20], 40) == 20 and language_id.equal_share([3000, 5], 40) == 35 and language_id.equal_share([3, 4], 40) == 4
 
 
+def backoff_brute(rows):
+    """The whole model in plain Python, without bounds: a function from a text to (language, score)."""
+    from collections import Counter
+
+    langs = sorted({lang for _, lang in rows})
+    words = {lang: Counter(w for t, x in rows if x == lang for w in re.findall(r"[^\W\d_]+", t.lower())) for lang in langs}
+    grams = {n: {lang: Counter(g for w in words[lang] for g in [f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)]) for lang in langs} for n in (5, 4, 3, 2, 1)}
+
+    def logs(table, key):
+        size = len(set().union(*table.values()))
+        return [math.log((table[lang][key] + 0.02) / (sum(table[lang].values()) + 0.02 * (size + 1))) for lang in langs]
+
+    def word(w):
+        if any(words[lang][w] for lang in langs):
+            return logs(words, w)
+        for n in (5, 4, 3, 2, 1):
+            known = [g for g in (f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)) if any(grams[n][lang][g] for lang in langs)]
+            if known:
+                each = [logs(grams[n], g) for g in known]
+                return [sum(x) / len(each) for x in zip(*each, strict=True)]
+        return [0.0] * len(langs)
+
+    def predict(text):
+        found = re.findall(r"[^\W\d_]+", text.lower())
+        if not found:
+            return "und", 0.0
+        total = [sum(x) for x in zip(*map(word, found), strict=True)]
+        top = max(total)
+        return langs[total.index(top)], 1 / sum(math.exp(max(-700, t - top)) for t in total)
+
+    return predict
+
+
+def test_language_brute(spark):
+    rng = random.Random(2)
+    parts = {"aa": ["ba", "na", "so", "ti"], "bb": ["ke", "na", "ru", "ßo"], "cc": ["xu", "so", "é", "ti"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(text(lang, 30), lang) for lang in parts for _ in range(6)]
+    model = language_id.fit(spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string"))
+    brute = backoff_brute(rows)
+    for t in [text(lang, 12) + " " + rng.choice(["naxu", "zzz", "qba", "12", "tisoke ÉÉ"]) for lang in parts for _ in range(20)] + ["", "7 !", "qqq"]:
+        lang, score = model.predict(t)
+        assert lang == brute(t)[0] and score == pytest.approx(brute(t)[1], abs=1e-9)
+
+
 # ---- 4 mixing ------------------------------------------------------------------------------------------------
 
 
