@@ -137,10 +137,15 @@ LISTED = [
 ]
 
 
+def listing(spark, rows: list[tuple[str, ...]], names: list[str]) -> DataFrame:
+    """A short list as a table of literals, made in the JVM."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names, strict=True)]) for r in rows]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return filter_urls(pages, rules, spark.createDataFrame(LISTED, "host string, path string"))
+    return filter_urls(pages, listing(spark, RULES, ["host", "path", "verdict"]), listing(spark, LISTED, ["host", "path"]))
 
 
 OP5_SQL = """

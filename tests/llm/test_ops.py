@@ -413,6 +413,14 @@ def test_urls(spark):
     assert {r["verdict"] for r in none} == {"allow"} and url_filter.filter_urls(pages.where("false"), rules, listed).count() == 0
 
 
+def test_urls_odd_and_a_long_list(spark):
+    pages = spark.createDataFrame([(None, "http://h5.example.com/p5/"), (1, "http://sub.h77.example.com/p77/x?y"), (2, "http://h77.example.com/p7"), (3, "http:///x"), (None, None)], "page_id long, url string")
+    listed = spark.range(200_000).select(F.format_string("h%d.example.com", "id").alias("host"), F.format_string("/p%d/", "id").alias("path"))
+    odd = spark.createDataFrame([("", "/", "block"), ("", "", "block")], "host string, path string, verdict string")
+    got = [(r["page_id"], r["host"], r["rule"], r["verdict"]) for r in url_filter.filter_urls(pages, odd, listed).collect()]
+    assert sorted(got, key=str) == sorted([(None, "h5.example.com", None, "block"), (1, "sub.h77.example.com", None, "block"), (2, "h77.example.com", None, "allow"), (3, "", None, "allow"), (None, "", None, "allow")], key=str)
+
+
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
     keys = spark.range(2000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     bloom, blocks = url_filter.blocked_bloom(keys, "key", 2000)
