@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,6 +19,20 @@ __all__ = ["cut", "stage"]
 SALTS = 64  # parts that a hot node of a graph is dealt over
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not with this C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give back what a task of a Python worker has freed: the worker lives on beside the executor's heap."""
+    gc.collect()
+    _trim()(0)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep what Spark hands to a Python worker at once to a few MB, whatever the length of the texts."""
     for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
@@ -75,6 +92,7 @@ def map_groups(
             pdf = pd.concat(held, ignore_index=True)
             if (out := apply(pdf, np.array([0, len(pdf)]))) is not None:
                 yield out
+        release()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 

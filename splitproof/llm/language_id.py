@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import release, small_batches, stage
 
 WORD = re.compile(r"[^\W\d_]+")
 SIZES = (5, 4, 3, 2, 1)
@@ -181,6 +181,8 @@ def identify(docs: DataFrame, model: BackoffModel, id_col: str = "doc_id") -> Da
             yield pd.DataFrame(
                 {"id": pdf["id"], "lang_pred": [o[0] for o in out], "score": np.array([o[1] for o in out], float)}
             )
+        m.memo.clear()
+        release()
 
     return (
         docs.select(F.col(id_col).cast("string").alias("id"), "text")  # as text: pandas has no whole numbers with nulls

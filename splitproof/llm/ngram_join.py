@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, map_groups, small_batches, small_side, stage, with_tiles
+from .common import connected_components, forest, map_groups, release, small_batches, small_side, stage, with_tiles
 
 WORD = re.compile(r"\w+")
 N = 5
@@ -144,7 +144,8 @@ def _classes_of(docs: DataFrame, id_col: str, n: int, threshold: float, recall:
                 size.append(len(s))
                 sig.append(signer.sign(s).tobytes() if len(s) else None)
             yield pd.DataFrame({"id": pdf["id"], "t": pdf["t"], "h1": h1, "h2": h2, "size": size, "sig": sig})
-        _memo.clear()  # the worker lives on for other operators
+        _memo.clear()
+        release()
 
     texts = _with_text_hash(docs.select(F.col(id_col).cast("long").alias("id"), "text"))
     sketches = stage(texts.select(F.col("id").cast("string"), "t", "text")  # as text: pandas has no whole numbers with nulls
@@ -190,6 +191,7 @@ def _classes_of(docs: DataFrame, id_col: str, n: int, threshold: float, recall:
         for pdf in batches:
             yield pd.DataFrame({"c": pdf["c"], "shingles": [shingles(t, n).tobytes() for t in pdf["text"]]})
         _memo.clear()
+        release()
 
     wanted = blocks.select("id", "t", "c")
     wanted = small_side(wanted, wanted.count(), BROADCAST_ROWS)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import release, small_batches
 
 SPACE = "▁"
 MEMO = 120_000  # chunks in each half of what a Python worker keeps
@@ -423,6 +423,10 @@ class _Memo(dict):
             some = new[i : i + TABLE_CHUNKS]
             self.update(zip(some, self.table.entries(some), strict=True))
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, chunk: str) -> tuple[str, str]:
         return self.table.entry(chunk)  # a long one, which isn't kept
 
@@ -517,6 +521,8 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_i
                 out = pd.DataFrame(rows, columns=names)
                 out.insert(0, "id", pdf["id"].to_numpy()[begin:end])
                 yield out
+        table.memo.forget()
+        release()
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), "text")  # as text: pandas has no whole numbers with nulls
     out = rows.mapInPandas(run, schema)

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_draw, small_batches
+from .common import bounded_draw, release, small_batches
 
 WORD = re.compile(r"\w+")
 SLOTS = 1 << 20
@@ -108,9 +108,11 @@ class ToxicityChain:
         if not self.weights:
             return np.zeros((len(rows), len(self.categories)))
         x = self.matrix(rows)
-        for w in self.weights:
-            x = np.hstack([x, _probability(x, w)[:, None]])
-        return x[:, -len(self.categories) :]
+        out = np.zeros((len(rows), 0))
+        for w in self.weights:  # of the features, the links before, the intercept
+            z = x @ w[: x.shape[1]] + out @ w[x.shape[1] : -1] + w[-1]
+            out = np.hstack([out, (1 / (1 + np.exp(-np.clip(z, -30, 30))))[:, None]])
+        return out
 
     @classmethod
     def fit(
@@ -118,7 +120,7 @@ class ToxicityChain:
         rows: list[tuple[np.ndarray, np.ndarray, int]],
         toxic: np.ndarray,
         low_quality: np.ndarray | None = None,
-        max_features: int = 4096,
+        max_features: int = 512,
         surprise: float = 5.0,
         lift: float = 6.0,
         seed: int = 1,
@@ -208,7 +210,8 @@ def score(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) -> Data
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             out.insert(1, "toxic", (p[:, -1] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
             yield out
-        _memo.clear()  # the worker lives on for other operators
+        _memo.clear()
+        release()
 
     schema = "doc_id string, toxic boolean, " + ", ".join(f"{n} double" for n in names)
     rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema)  # as text: pandas has no whole numbers with nulls
@@ -226,7 +229,8 @@ def drop_toxic(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) ->
             rows = [features(t) for t in texts]
             p = shared.value.predict(rows)
             yield pd.Series((p[:, -1] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
-        _memo.clear()  # the worker lives on for other operators
+        _memo.clear()
+        release()
 
     return docs.where(~F.pandas_udf(flagged, "boolean")("text"))
 
