@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +31,13 @@ def _trim() -> Callable[[int], int]:
 def release() -> None:
     """Give back what a task of a Python worker has freed: the worker lives on beside the executor's heap."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     _trim()(0)
 
 
 def small_batches(spark: SparkSession) -> None:
     """Keep what Spark hands to a Python worker at once to a few MB, whatever the length of the texts."""
-    for key, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 4 << 20)):
         name = f"spark.sql.execution.arrow.{key}"
         now = int(re.sub(r"\D", "", spark.conf.get(name)) or 0)
         if not 0 < now <= most:

@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from .common import release, small_batches
 
 SPACE = "▁"
-MEMO = 120_000  # chunks in each half of what a Python worker keeps
+MEMO = 60_000  # chunks in each half of what a Python worker keeps
 MEMO_CHARS = 40  # of a chunk that is kept
-PAIR_BITS = 22  # slots for pair tests kept by a Python worker, as a power of two; a later pair takes over its slot
+PAIR_BITS = 21  # slots for pair tests kept by a Python worker, as a power of two; a later pair takes over its slot
 BLOCK_TEXTS, BLOCK_CHARS = 256, 1 << 18  # of the texts that are encoded together; a longer text goes alone
-TABLE_CHUNKS = 1 << 13  # chunks whose tables are filled together
+TABLE_CHUNKS = 1 << 12  # chunks whose tables are filled together
 FAR = 1 << 60
 
 
