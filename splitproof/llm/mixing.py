@@ -89,7 +89,8 @@ def mix(
         rows = rows.withColumn("weight", F.lit(1.0))
     u = F.col("u")
     rows = rows.withColumn("key", -F.log(u) / F.coalesce("weight", F.lit(1.0)))
-    rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BUCKETS).cast("int"))
+    rows = rows.withColumn("bucket", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * BUCKETS).cast("int")).drop("u", "weight")
+    rows = stage(rows, "sizes")  # the texts are read once for the targets and the places
 
     buckets = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     along = Window.partitionBy("source").orderBy("bucket")
