@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kind_of, map_groups, not_null, packed_vectors, small_batches, small_side, stack, stage
+from .common import kind_of, map_groups, not_null, packed_vectors, releasing, small_batches, small_side, stack, stage
 
 CHUNK = 4096  # vectors of a list in one tile
 QUERY_CHUNK = 512  # queries in one tile
@@ -162,7 +162,7 @@ def search(
     def packed(df: DataFrame, name: str) -> DataFrame:
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
         return stage(
-            rows.mapInPandas(pack, "vec_id long, packed binary, dims int").where(not_null("vec_id", "packed")), name
+            rows.mapInPandas(releasing(pack), "vec_id long, packed binary, dims int").where(not_null("vec_id", "packed")), name
         )
 
     base, asked = packed(vectors, "base"), packed(queries, "queries")
@@ -208,7 +208,7 @@ def _indexed(
                 row, col = np.nonzero(value <= boundary * value.min(1, keepdims=True))
                 yield pd.DataFrame({"list": near[row, col], "vec_id": part["vec_id"].to_numpy()[row], "packed": part["packed"].to_numpy()[row]})
 
-    postings = stage(base.mapInPandas(file, "list int, vec_id long, packed binary"), "postings")
+    postings = stage(base.mapInPandas(releasing(file), "list int, vec_id long, packed binary"), "postings")
     sizes = postings.groupBy("list").agg(F.count("*").alias("n"))
     length = {r["list"]: r["n"] for r in sizes.collect()}  # one row for each list: at most max_lists
 
@@ -226,7 +226,7 @@ def _indexed(
                 ids = pdf["vec_id"].to_numpy()[at]
                 yield pd.DataFrame({"list": np.concatenate(lists), "vec_id": ids, "packed": pdf["packed"].to_numpy()[at]})
 
-    probes = stage(asked.dropDuplicates(["vec_id", "packed"]).mapInPandas(choose, "list int, vec_id long, packed binary"), "probes")
+    probes = stage(asked.dropDuplicates(["vec_id", "packed"]).mapInPandas(releasing(choose), "list int, vec_id long, packed binary"), "probes")
     tiles = sizes.join(probes.groupBy("list").agg(F.count("*").alias("q")), "list").select(
         "list", F.ceil(F.col("n") / CHUNK).cast("int").alias("pn"), F.ceil(F.col("q") / QUERY_CHUNK).cast("int").alias("qn")
     )

@@ -23,16 +23,25 @@ SALTS = 64  # parts that a hot node of a graph is dealt over
 @lru_cache(maxsize=1)
 def _trim() -> Callable[[int], int]:
     try:
-        return ctypes.CDLL(None).malloc_trim
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: what is larger goes back as soon as it is freed
+        return c.malloc_trim
     except (AttributeError, OSError):  # not with this C library
         return lambda _: 0
 
 
-def release() -> None:
-    """Give back what a task of a Python worker has freed: the worker lives on beside the executor's heap."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    _trim()(0)
+def releasing(fn: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``fn`` over the batches of a task, whose memory is given back at the end: a Python worker lives on beside the
+    executor's heap, and later tasks may be other operators'."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trim = _trim()
+        yield from fn(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim(0)
+
+    return run
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -94,9 +103,8 @@ def map_groups(
             pdf = pd.concat(held, ignore_index=True)
             if (out := apply(pdf, np.array([0, len(pdf)]))) is not None:
                 yield out
-        release()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(releasing(run), schema)
 
 
 def with_tiles(df: DataFrame, member: str, chunks: Column) -> DataFrame:

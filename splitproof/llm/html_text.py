@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches
+from .common import releasing, small_batches
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")  # quoted values may hold >
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -668,10 +668,9 @@ def extract(pages: DataFrame, model: Labeller, id_col: str = "page_id") -> DataF
                 yield pd.DataFrame(
                     {"id": part["id"], "url": part["url"], "text": texts, "n_chars": [len(t) for t in texts]}
                 )
-        release()
 
     rows = pages.select(F.col(id_col).cast("string").alias("id"), "url", "html")  # as text: pandas has no whole numbers with nulls
-    out = rows.mapInPandas(run, "id string, url string, text string, n_chars long")
+    out = rows.mapInPandas(releasing(run), "id string, url string, text string, n_chars long")
     return out.select(F.col("id").cast("long").alias(id_col), "url", "text", "n_chars")
 
 

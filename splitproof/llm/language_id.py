@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, stage
+from .common import releasing, small_batches, stage
 
 WORD = re.compile(r"[^\W\d_]+")
 SIZES = (5, 4, 3, 2, 1)
@@ -130,7 +130,7 @@ def fit(
 
     words = stage(
         picked.select("text", "lang")
-        .mapInPandas(count, "lang string, word string, n long")
+        .mapInPandas(releasing(count), "lang string, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").cast("double").alias("n")),
         "language-words",
@@ -182,11 +182,10 @@ def identify(docs: DataFrame, model: BackoffModel, id_col: str = "doc_id") -> Da
                 {"id": pdf["id"], "lang_pred": [o[0] for o in out], "score": np.array([o[1] for o in out], float)}
             )
         m.memo.clear()
-        release()
 
     return (
         docs.select(F.col(id_col).cast("string").alias("id"), "text")  # as text: pandas has no whole numbers with nulls
-        .mapInPandas(predict, "id string, lang_pred string, score double")
+        .mapInPandas(releasing(predict), "id string, lang_pred string, score double")
         .select(F.col("id").cast("long").alias(id_col), "lang_pred", "score")
     )
 

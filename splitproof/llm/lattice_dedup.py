@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, kind_of, map_groups, not_null, packed_vectors, small_batches, stack, stage, with_tiles
+from .common import connected_components, forest, kind_of, map_groups, not_null, packed_vectors, releasing, small_batches, stack, stage, with_tiles
 
 CELL_CHUNK = 512  # rows of a side of a cell's tile
 CHUNK = 2048  # rows of a side of a component's tile
@@ -195,7 +195,7 @@ def near_embeddings(
     small_batches(vectors.sparkSession)
     rows = stage(
         vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v"))  # pandas has no whole numbers with nulls
-        .mapInPandas(pack, "vec_id string, packed binary, dims int")
+        .mapInPandas(releasing(pack), "vec_id string, packed binary, dims int")
         .withColumn("vec_id", F.col("vec_id").cast("long")),
         "vectors",
     )
@@ -233,7 +233,7 @@ def near_embeddings(
                 q, step = coarse(_unit(part["packed"].to_numpy(), kind))
                 yield pd.DataFrame({"c": part["c"].to_numpy(), "dims": d, "step": step, "q": [r.tobytes() for r in q]})
 
-    cells = classes.select("dims", "packed", "c").mapInPandas(file, "cell long, c long, home byte")
+    cells = classes.select("dims", "packed", "c").mapInPandas(releasing(file), "cell long, c long, home byte")
     # staged, so that the join below reads plain shuffles, of which a cell with many vectors can be split
     shared = stage(
         cells.groupBy("cell")
@@ -242,7 +242,7 @@ def near_embeddings(
         .select("cell", "n"),
         "cells",
     )
-    small = classes.select("dims", "packed", "c").mapInPandas(shrink, "c long, dims int, step double, q binary")
+    small = classes.select("dims", "packed", "c").mapInPandas(releasing(shrink), "c long, dims int, step double, q binary")
     met = with_tiles(cells.join(shared, "cell"), "c", F.ceil(F.col("n") / cell_chunk))
     edges = map_groups(
         met.select("cell", "tile_a", "tile_b", "c", "home", "side").join(small, "c"),

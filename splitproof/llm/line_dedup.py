@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, small_side, stage
+from .common import releasing, small_batches, small_side, stage
 
 MIN_NEAR = 10
 BLANKS = " \t\n\x0b\x0c\r"
@@ -129,10 +129,9 @@ def near_copies(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id", min_
                         pos.append(p)
                         out.append(t)
             yield pd.DataFrame({"d": np.array(d, np.int64), "x": np.array(x, np.int64), "pos": np.array(pos, np.int32), "t": out})
-        release()
 
     # rows that repeat id and text give the same line of a place more than once
-    lines = stage(texts.mapInPandas(pick, "d long, x long, pos int, t string").dropDuplicates(PLACE), "lines-text")
+    lines = stage(texts.mapInPandas(releasing(pick), "d long, x long, pos int, t string").dropDuplicates(PLACE), "lines-text")
     lines = lines.join(_with_a_window_in_common(lines), PLACE, "left_semi")
 
     names = ["key", "role", *PLACE]
@@ -150,9 +149,8 @@ def near_copies(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id", min_
                     held, rows = [], 0
             if held:
                 yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(names, zip(*held, strict=True), strict=True)})
-        release()
 
-    variants = lines.mapInPandas(vary, "key long, role byte, d long, x long, pos int")
+    variants = lines.mapInPandas(releasing(vary), "key long, role byte, d long, x long, pos int")
     variants = stage(variants.join(_met(variants, "key", "lines-keys"), "key"), "lines-variants")
     at = F.struct(*PLACE)
     groups = variants.groupBy("key").agg(

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, forest, map_groups, release, small_batches, small_side, stage, with_tiles
+from .common import connected_components, forest, map_groups, releasing, small_batches, small_side, stage, with_tiles
 
 WORD = re.compile(r"\w+")
 N = 5
@@ -145,11 +145,10 @@ def _classes_of(docs: DataFrame, id_col: str, n: int, threshold: float, recall:
                 sig.append(signer.sign(s).tobytes() if len(s) else None)
             yield pd.DataFrame({"id": pdf["id"], "t": pdf["t"], "h1": h1, "h2": h2, "size": size, "sig": sig})
         _memo.clear()
-        release()
 
     texts = _with_text_hash(docs.select(F.col(id_col).cast("long").alias("id"), "text"))
     sketches = stage(texts.select(F.col("id").cast("string"), "t", "text")  # as text: pandas has no whole numbers with nulls
-        .mapInPandas(sketch, "id string, t long, h1 long, h2 long, size int, sig binary")
+        .mapInPandas(releasing(sketch), "id string, t long, h1 long, h2 long, size int, sig binary")
         .withColumn("id", F.col("id").cast("long")),
         "sketches",
     )
@@ -171,7 +170,7 @@ def _classes_of(docs: DataFrame, id_col: str, n: int, threshold: float, recall:
                 h = _mix(h * np.uint64(0xD6E8FEB86659FD93) + sig[:, :, r])
             yield pd.DataFrame({"bucket": h.ravel().view(np.int64), "c": np.repeat(pdf["c"].to_numpy(), bands)})
 
-    buckets = classes.select("c", "sig").mapInPandas(bands_of, "bucket long, c long")
+    buckets = classes.select("c", "sig").mapInPandas(releasing(bands_of), "bucket long, c long")
     # staged, so that the join below reads plain shuffles, of which a bucket with many classes can be split
     shared = stage(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = with_tiles(buckets.join(shared, "bucket"), "c", F.ceil(F.col("n") / BUCKET_CHUNK))
@@ -191,12 +190,11 @@ def _classes_of(docs: DataFrame, id_col: str, n: int, threshold: float, recall:
         for pdf in batches:
             yield pd.DataFrame({"c": pdf["c"], "shingles": [shingles(t, n).tobytes() for t in pdf["text"]]})
         _memo.clear()
-        release()
 
     wanted = blocks.select("id", "t", "c")
     wanted = small_side(wanted, wanted.count(), BROADCAST_ROWS)
     one = texts.join(wanted, ["id", "t"]).select("c", "text").dropDuplicates(["c"])
-    full = stage(one.mapInPandas(sets, "c long, shingles binary"), "shingles").join(classes.select("c", "m"), "c")
+    full = stage(one.mapInPandas(releasing(sets), "c long, shingles binary"), "shingles").join(classes.select("c", "m"), "c")
     tiles = with_tiles(blocks.select("component", "c").join(cuts, "component"), "c", F.col("chunks"))
     verified = stage(
         map_groups(

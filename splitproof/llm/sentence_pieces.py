@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches
+from .common import releasing, small_batches
 
 SPACE = "▁"
 MEMO = 60_000  # chunks in each half of what a Python worker keeps
@@ -522,10 +522,9 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_i
                 out.insert(0, "id", pdf["id"].to_numpy()[begin:end])
                 yield out
         table.memo.forget()
-        release()
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), "text")  # as text: pandas has no whole numbers with nulls
-    out = rows.mapInPandas(run, schema)
+    out = rows.mapInPandas(releasing(run), schema)
     return out.select(F.col("id").cast("long").alias(id_col), *out.columns[1:])
 
 

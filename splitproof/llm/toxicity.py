@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_draw, release, small_batches
+from .common import bounded_draw, releasing, small_batches
 
 WORD = re.compile(r"\w+")
 SLOTS = 1 << 20
@@ -62,11 +62,12 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return slots, counts.astype(np.int32), len(words)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights (the last is the intercept) of a ridge logistic regression, by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
+    """Weights (the last is the intercept) of a ridge logistic regression, by Newton's method from ``start``."""
     z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
+    w = np.zeros(z.shape[1]) if start is None else start.copy()
     if len(np.unique(y)) < 2:
+        w[:] = 0.0
         w[-1] = 8.0 if len(y) and y[0] else -8.0
         return w
     ridge = np.full(z.shape[1], penalty)
@@ -147,12 +148,13 @@ class ToxicityChain:
         targets = [low_quality, toxic * (amount >= middle[0]), toxic * (share >= middle[1]), toxic]
         fold = np.random.default_rng(seed).permutation(len(rows)) % FOLDS
         for y in targets:
+            whole = _logistic(x, y)
             out_of_fold = np.zeros(len(rows))
             for k in range(FOLDS):
                 train, test = fold != k, fold == k
                 if test.any():
-                    out_of_fold[test] = _probability(x[test], _logistic(x[train], y[train]))
-            chain.weights.append(_logistic(x, y))
+                    out_of_fold[test] = _probability(x[test], _logistic(x[train], y[train], whole))
+            chain.weights.append(whole)
             x = np.hstack([x, out_of_fold[:, None]])
         return chain
 
@@ -186,7 +188,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, per_class: int = 2_000) -> Tox
     small_batches(docs.sparkSession)
     # the sampled ids are at most 2 * per_class rows: small enough to send to every task
     rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
-    got = rows.mapInPandas(extract, "draw long, toxic int, low int, slots binary, counts binary, words int").toPandas()
+    got = rows.mapInPandas(releasing(extract), "draw long, toxic int, low int, slots binary, counts binary, words int").toPandas()
     got = got.sort_values(["draw", "slots"], kind="stable").drop_duplicates("draw")
     parsed = [
         (np.frombuffer(s, np.int32), np.frombuffer(c, np.int32), w)
@@ -211,10 +213,9 @@ def score(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) -> Data
             out.insert(1, "toxic", (p[:, -1] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
             yield out
         _memo.clear()
-        release()
 
     schema = "doc_id string, toxic boolean, " + ", ".join(f"{n} double" for n in names)
-    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(run, schema)  # as text: pandas has no whole numbers with nulls
+    rows = docs.select(F.col("doc_id").cast("string"), "text").mapInPandas(releasing(run), schema)  # as text: pandas has no whole numbers with nulls
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -230,9 +231,18 @@ def drop_toxic(docs: DataFrame, chain: ToxicityChain, threshold: float = 0.5) ->
             p = shared.value.predict(rows)
             yield pd.Series((p[:, -1] >= threshold) & (np.array([r[2] for r in rows], int) > 0))
         _memo.clear()
-        release()
 
-    return docs.where(~F.pandas_udf(flagged, "boolean")("text"))
+    return docs.where(~F.pandas_udf(_series(flagged), "boolean")("text"))
+
+
+def _series(fn):
+    """releasing() for a function of series, with the annotations that Spark asks for."""
+    inner = releasing(fn)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return inner(batches)
+
+    return run
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
