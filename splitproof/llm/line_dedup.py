@@ -202,6 +202,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", counts: bool = False, m
         out = pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
         return out.astype({"n_lines": "Int32", "n_removed": "Int32"})
 
+    rebuild = rebuild.asNondeterministic()  # run once, though a filter and the columns read it
     built = joined.withColumn("built", rebuild(F.col("row")["text"], F.col("kept")))
     if drop_emptied:
         blank = F.trim(F.col("built.text"), F.lit(BLANKS)) == ""

@@ -228,6 +228,11 @@ class PieceTable:
         self.memo = _Memo(self)
         self.split = re.compile(self.chunks).findall
 
+    def put_down(self) -> None:
+        """Free what prepare() has built: a Python worker keeps the broadcast table after its task."""
+        self.automaton = self.pair_key = self.pair_fits = self.memo = None
+        self.names = self.shown = self.lengths = self.length = None
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether the texts of two tokens, put together, encode to these two tokens."""
         up, down, i, j, rank = self.right_spine[a], self.left_spine[b], 0, 0, self.rank
@@ -423,10 +428,6 @@ class _Memo(dict):
             some = new[i : i + TABLE_CHUNKS]
             self.update(zip(some, self.table.entries(some), strict=True))
 
-    def forget(self) -> None:
-        self.clear()
-        self.older = {}
-
     def __missing__(self, chunk: str) -> tuple[str, str]:
         return self.table.entry(chunk)  # a long one, which isn't kept
 
@@ -521,7 +522,7 @@ def round_trips(docs: DataFrame, model_path: str, id_col: str = "doc_id", with_i
                 out = pd.DataFrame(rows, columns=names)
                 out.insert(0, "id", pdf["id"].to_numpy()[begin:end])
                 yield out
-        table.memo.forget()
+        table.put_down()
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), "text")  # as text: pandas has no whole numbers with nulls
     out = rows.mapInPandas(releasing(run), schema)
