@@ -47,7 +47,7 @@ def accuracy(preds: DataFrame, by: list[str]) -> DataFrame:
 
 
 def roc_points(scored: DataFrame) -> DataFrame:
-    """fpr, tpr at each distinct threshold, per class; points on a straight line between their neighbours are dropped.
+    """fpr, tpr at each distinct threshold, per class, and the origin at an infinite one; points on a straight line between their neighbours are dropped.
 
     ``scored``: class, score, positive (0/1). Distinct scores are aggregated before the running sums.
     """
@@ -60,20 +60,24 @@ def roc_points(scored: DataFrame) -> DataFrame:
     last_tp, last_fp = F.coalesce(F.lag("tp").over(w), F.lit(0)), F.coalesce(F.lag("fp").over(w), F.lit(0))
     straight = (F.col("tp") - last_tp) * (next_fp - F.col("fp")) == (next_tp - F.col("tp")) * (F.col("fp") - last_fp)
     run = run.withColumn("drop", F.coalesce(straight, F.lit(False))).where("not drop")
-    return run.select(
+    points = run.select(
         "class", "score", F.round(_ratio(F.col("fp"), F.col("nq")), 6).alias("fpr"), F.round(_ratio(F.col("tp"), F.col("np")), 6).alias("tpr")
     )
+    origin = scored.select("class").distinct().select("class", F.lit(float("inf")).alias("score"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.unionByName(origin)
 
 
 def auc(scored: DataFrame) -> DataFrame:
-    """One-vs-rest AUC of each class by the rank sum, ties averaged. Scores are aggregated before ranking."""
+    """One-vs-rest AUC of each class by the rank sum, ties averaged, and their MACRO mean. Scores are aggregated before ranking."""
     steps = scored.groupBy("class", "score").agg(F.sum("positive").alias("p"), F.count("*").alias("n"))
     w = Window.partitionBy("class").orderBy("score")
     before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = steps.withColumn("rank", before + (F.col("n") + 1) / 2.0)
     sums = ranked.groupBy("class").agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     value = F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0, (F.col("p") * (F.col("n") - F.col("p"))).cast("double"))
-    return sums.select("class", F.round(value, 6).alias("auc"))
+    each = sums.select("class", value.alias("auc"))
+    macro = each.agg(F.avg("auc").alias("auc")).select(F.lit("MACRO").alias("class"), "auc")
+    return each.unionByName(macro).select("class", F.round("auc", 6).alias("auc"))
 
 
 def agreement(preds: DataFrame, by: list[str]) -> DataFrame:

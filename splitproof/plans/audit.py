@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import checks, cluster, dedup, leakage, partition, similarity
 from ..operators.contamination import contained_passages
-from .fixtures import BEST, ITEMS, PREDS, VECS, h, items, predictions, vectors
+from .fixtures import BEST, BITS, ITEMS, PIXELS, PREDS, VECS, h, hashes, items, predictions, vectors
 from .registry import query
 
 TRAIN = "split = 'Training'"
@@ -136,18 +136,21 @@ def j14(spark, d):
     return v.join(w, "item_id").select("item_id", F.round(sim, 6).alias("sim"))
 
 
-_NEAR_HASH = f"bit_count(xor({h('b.item_id::VARCHAR')}, {h('b.match_id::VARCHAR')}))::INT"
+_PIXELS_ONLY = PIXELS.removeprefix(VECS)  # the vectors are there already
+_NEAR = f"WITH {BEST}{_PIXELS_ONLY}, {BITS}, n AS (SELECT best.item_id, any_value(match_id) AS match_id, any_value(class) AS class, any_value(sim) AS sim, count(*) FILTER (x.on_ <> y.on_)::INT AS distance FROM best JOIN bits x ON x.item_id = best.item_id JOIN bits y ON y.item_id = match_id AND y.b = x.b GROUP BY 1)"
 
 
-@query("J15_hash_of_nearest", f"WITH {BEST} SELECT item_id, match_id, {_NEAR_HASH} AS distance FROM best b")
+@query("J15_hash_of_nearest", f"{_NEAR} SELECT item_id, match_id, distance FROM n")
 def j15(spark, d):
     return _nearest_hash(spark, d).select("item_id", "match_id", "distance")
 
 
 def _nearest_hash(spark, d) -> DataFrame:
-    """Distance of a 32-bit hash to the nearest vector's only, not to the closest hash."""
-    s = lambda c: F.col(c).cast("string")
-    return best_train(spark, d).withColumn("distance", S.hamming(S.hash_int(s("item_id")), S.hash_int(s("match_id"))))
+    """Distance of the perceptual hash to that of the nearest vector only, not to the closest hash."""
+    own = hashes(spark, d)
+    near = best_train(spark, d).join(own.withColumnRenamed("phash", "a"), "item_id")
+    near = near.join(own.select(F.col("item_id").alias("match_id"), F.col("phash").alias("b")), "match_id")
+    return near.withColumn("distance", S.hamming(F.col("a"), F.col("b")))
 
 
 # ---- aggregates --------------------------------------------------------------------------------------------
@@ -164,14 +167,25 @@ def a2(spark, d):
     return dedup.redundancy(items(spark, d), "content_hash")
 
 
+@query("A2_clusters")
+def a2b(spark, d):
+    """Files, distinct vectors and leader clusters of each class, and a TOTAL with a walk of its own over all classes (one
+    task, as a walk in order is; it holds the leaders, not the rows)."""
+    v = vectors(spark, d).withColumn("class", F.col("class").cast("string"))
+    both = v.unionByName(v.withColumn("class", F.lit("TOTAL")))
+    counts = both.groupBy("class").agg(F.count("*").alias("files"), F.countDistinct("v").alias("unique"))
+    walked = cluster.leader_clusters(both, 0.4).groupBy("class").agg(F.countDistinct("leader_id").alias("clusters"))
+    return counts.join(walked, "class").select("class", "files", "unique", "clusters", (F.col("files") - F.col("clusters")).alias("redundant"))
+
+
 @query("A3_surplus_copies", f"WITH {ITEMS}, g AS (SELECT split, file_hash, count(*) - 1 AS e FROM items GROUP BY 1, 2) SELECT split, sum(e)::BIGINT AS surplus FROM g GROUP BY 1")
 def a3(spark, d):
     return dedup.surplus_copies(items(spark, d), "file_hash", ["split"])
 
 
-@query("A4_leak_table", f"WITH {BEST}, n AS (SELECT *, {_NEAR_HASH} AS distance FROM best b) SELECT class, count(*) AS n, round(avg(sim), 6) AS mean_sim, count(*) FILTER (sim >= 0.4) AS near_cos, count(*) FILTER (distance <= 16) AS near_hash, count(*) FILTER (sim >= 0.4 AND distance <= 16) AS both FROM n GROUP BY 1")
+@query("A4_leak_table", f"{_NEAR} SELECT class, count(*) AS n, round(avg(sim), 6) AS mean_sim, count(*) FILTER (sim >= 0.4) AS near_cos, count(*) FILTER (distance <= 28) AS near_hash, count(*) FILTER (sim >= 0.4 AND distance <= 28) AS both FROM n GROUP BY 1")
 def a4(spark, d):
-    return similarity.leak_table(_nearest_hash(spark, d), 0.4, 16)
+    return similarity.leak_table(_nearest_hash(spark, d), 0.4, 28)
 
 
 _PCT = (5, 25, 50, 75, 95, 99)
@@ -234,6 +248,40 @@ def a30(spark, d):
     return c.withColumn("r", r).where("r <= 2").drop("r")
 
 
+_TOP = "arg_max({s}, (n, -{s}))"
+
+
+@query(
+    "A30_confound",
+    f"""WITH {ITEMS}, s AS (SELECT class, item_id IN (SELECT doc_id FROM labels) AS traced, n_chars // 500 AS size, length(source) AS mark, n_chars FROM items),
+  m AS (SELECT class, count(*) FILTER (traced) AS n_traced, count(*) FILTER (NOT traced) AS n_untraced, avg(n_chars) FILTER (traced) AS mt, avg(n_chars) FILTER (NOT traced) AS mu,
+    stddev_pop(n_chars) FILTER (traced) AS st, stddev_pop(n_chars) FILTER (NOT traced) AS su FROM s GROUP BY 1),
+  a AS (SELECT class, traced, {_TOP.format(s='size')} AS size FROM (SELECT class, traced, size, count(*) AS n FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  b AS (SELECT class, traced, {_TOP.format(s='mark')} AS mark FROM (SELECT class, traced, mark, count(*) AS n FROM s GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  t AS (SELECT a.class, max(size) FILTER (a.traced) AS size_t, max(size) FILTER (NOT a.traced) AS size_u, max(mark) FILTER (a.traced) AS mark_t, max(mark) FILTER (NOT a.traced) AS mark_u
+    FROM a JOIN b ON a.class = b.class AND a.traced = b.traced GROUP BY 1)
+SELECT class, n_traced, n_untraced, round(mt, 6) AS mean_traced, round(st, 6) AS sd_traced, round(mu, 6) AS mean_untraced, round(su, 6) AS sd_untraced,
+  coalesce(size_t <> size_u OR mark_t <> mark_u, false) AS dominant_differs FROM m JOIN t USING (class)""",
+)
+def a30b(spark, d):
+    """Per class, what sets traced items apart: two signatures' most frequent values, and mean and SD of the size."""
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("item_id"), F.lit(True).alias("t")).dropDuplicates(["item_id"])
+    s = items(spark, d).join(labels, "item_id", "left").select("class", F.coalesce("t", F.lit(False)).alias("traced"), F.expr("n_chars div 500").alias("size"), F.length("source").alias("mark"), "n_chars")
+    x, y = F.when(F.col("traced"), F.col("n_chars")), F.when(~F.col("traced"), F.col("n_chars"))
+    r = lambda c, name: F.round(c, 6).alias(name)
+    m = s.groupBy("class").agg(
+        F.count(x).alias("n_traced"), F.count(y).alias("n_untraced"), r(F.avg(x), "mean_traced"), r(F.stddev_pop(x), "sd_traced"), r(F.avg(y), "mean_untraced"), r(F.stddev_pop(y), "sd_untraced")
+    )
+
+    def top(signature: str) -> DataFrame:
+        counts = s.groupBy("class", "traced", signature).agg(F.count("*").alias("n"))
+        best = lambda side: F.max_by(F.when(side, F.col(signature)), F.when(side, F.struct("n", (-F.col(signature)).alias("o"))))
+        return counts.groupBy("class").agg((best(F.col("traced")) != best(~F.col("traced"))).alias(f"{signature}_differs"))
+
+    both = m.join(top("size"), "class").join(top("mark"), "class")
+    return both.withColumn("dominant_differs", F.coalesce(F.col("size_differs") | F.col("mark_differs"), F.lit(False))).drop("size_differs", "mark_differs")
+
+
 @query("A31_variant_medians", f"WITH {VECS} SELECT k AS variant, round(median(sim), 6) AS median, round(min(sim), 6) AS low FROM (SELECT k, list_inner_product(v, w) / sqrt(list_inner_product(w, w)) AS sim FROM (SELECT v, k, list_transform(v, lambda x: round(x * k) / k::DOUBLE) AS w FROM vecs, (VALUES (8), (16), (32)) t(k))) GROUP BY 1")
 def a31(spark, d):
     v = vectors(spark, d).withColumn("variant", F.explode(F.array(F.lit(8), F.lit(16), F.lit(32))))

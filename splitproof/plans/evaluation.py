@@ -144,13 +144,14 @@ def a24(spark, d):
   n AS (SELECT *, max(tp) OVER (PARTITION BY class) AS np, max(fp) OVER (PARTITION BY class) AS nq, coalesce(lag(tp) OVER w, 0) AS lt, coalesce(lag(fp) OVER w, 0) AS lf, lead(tp) OVER w AS nt, lead(fp) OVER w AS nf
     FROM r WINDOW w AS (PARTITION BY class ORDER BY score DESC))
 SELECT class, score, round(coalesce(fp / nullif(nq, 0), 0), 6) AS fpr, round(coalesce(tp / nullif(np, 0), 0), 6) AS tpr FROM n
-WHERE NOT coalesce((tp - lt) * (nf - fp) = (nt - tp) * (fp - lf), false)""",
+WHERE NOT coalesce((tp - lt) * (nf - fp) = (nt - tp) * (fp - lf), false)
+UNION ALL SELECT DISTINCT class, 'Infinity'::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM scored""",
 )
 def a25(spark, d):
     return M.roc_points(scored(spark, d))
 
 
-@query("A26_auc", f"WITH {SCORED}, r AS (SELECT class, positive, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0::DOUBLE AS r FROM scored) SELECT class, round((sum(r) FILTER (positive = 1) - sum(positive) * (sum(positive) + 1) / 2.0::DOUBLE) / (sum(positive) * (count(*) - sum(positive))), 6) AS auc FROM r GROUP BY 1")
+@query("A26_auc", f"WITH {SCORED}, r AS (SELECT class, positive, rank() OVER (PARTITION BY class ORDER BY score) + (count(*) OVER (PARTITION BY class, score) - 1) / 2.0::DOUBLE AS r FROM scored), e AS (SELECT class, (sum(r) FILTER (positive = 1) - sum(positive) * (sum(positive) + 1) / 2.0::DOUBLE) / (sum(positive) * (count(*) - sum(positive))) AS auc FROM r GROUP BY 1) SELECT class, round(auc, 6) AS auc FROM e UNION ALL SELECT 'MACRO', round(avg(auc), 6) FROM e")
 def a26(spark, d):
     return M.auc(scored(spark, d))
 
@@ -174,6 +175,24 @@ def a29(spark, d):
     return predictions(spark, d).groupBy("arm").agg(F.count_if(wrong & (F.col("confidence") > 0.9)).alias("before"), F.count_if(wrong & (F.col("confidence") * 0.95 > 0.9)).alias("after"))
 
 
+@query("A29_calibration")
+def a29b(spark, d):
+    """ECE, NLL and errors above 0.9 confidence before and after the fitted temperature (a refined grid search, no SQL)."""
+    from ..functions.scalar import argmax, softmax
+
+    z = logits(spark, d)
+    best = I.fit_temperature(z).first()["temperature"]  # one row
+    out = None
+    for name, t in (("before", 1.0), ("after", best)):
+        p = z.select(softmax(F.col("z"), t).alias("p"), "label", F.lit(name).alias("stage"))
+        loss = -F.log(F.greatest(F.element_at("p", F.col("label") + 1), F.lit(1e-300)))
+        p = p.select("stage", F.array_max("p").alias("confidence"), (argmax(F.col("p")) == F.col("label")).cast("int").alias("correct"), loss.alias("loss"))
+        sure = p.groupBy("stage").agg(F.round(F.avg("loss"), 6).alias("nll"), F.count_if((F.col("correct") == 0) & (F.col("confidence") > 0.9)).alias("confident_errors"))
+        row = M.calibration_error(p, ["stage"]).join(sure, "stage").withColumn("temperature", F.lit(t))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "A35_paired_contrast",
     f"""WITH {PREDS}, i AS (SELECT arm, seed, avg(correct) AS a FROM preds WHERE is_dup GROUP BY 1, 2), m AS (SELECT avg(a) FILTER (arm = 'random') AS seen, avg(a) FILTER (arm = 'patient') AS unseen FROM i)
@@ -327,6 +346,13 @@ def i8(spark, d):
     return I.signed_rank(_differences(spark, d).withColumn("d", F.round("d", 9)))
 
 
+@query("I8_wilcoxon_p")
+def i8b(spark, d):
+    """Wilcoxon's W and its exact two-sided p value over the sign patterns (no SQL). One difference a fold and seed."""
+    rows = _differences(spark, d).select(F.round("d", 9).alias("d")).collect()  # folds x seeds
+    return spark.createDataFrame([special.wilcoxon_exact([r["d"] for r in rows])], "w double, p double")
+
+
 @query("I9_beta_interval")
 def i9(spark, d):
     """95 % interval of each stratum's error rate, Beta(max(e, 1/2), max(n - e, 1/2))."""

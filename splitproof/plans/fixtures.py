@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,28 @@ PIXELS = (
 )
 
 
+def hashes(spark: SparkSession, d: str) -> DataFrame:
+    """The perceptual hash of each vector's image, every pixel enlarged to 4 x 4: item_id, phash (64 bits)."""
+    from ..functions.scalar import perceptual_hash
+
+    @F.pandas_udf("long")
+    def run(images: pd.Series) -> pd.Series:
+        return pd.Series([perceptual_hash(np.kron(np.asarray(p, float).reshape(8, 8), np.ones((4, 4)))) for p in images], dtype="Int64")
+
+    return pixels(spark, d).select("item_id", run("px").alias("phash"))
+
+
+#: on: whether bit b (from the first, the highest) of an image's perceptual hash is set
+BITS = """dct AS (
+  SELECT k, i, sum(CASE WHEN k = 0 THEN sqrt(1 / 32.0::DOUBLE) ELSE 0.25::DOUBLE END * cos(pi() * (2 * (4 * i + j) + 1) * k / 64)) AS t
+  FROM range(8) x(k), range(8) y(i), range(4) z(j) GROUP BY 1, 2
+), dot AS (SELECT item_id, unnest(px) AS p, unnest(range(64)) AS n FROM px
+), half AS (SELECT item_id, k, n % 8 AS j, sum(t * p) AS v FROM dot JOIN dct ON i = n // 8 GROUP BY 1, 2, 3
+), low AS (SELECT item_id, half.k AS k, dct.k AS l, sum(v * t) AS v FROM half JOIN dct ON i = j GROUP BY 1, 2, 3
+), mid AS (SELECT item_id, median(v) FILTER (k > 0 OR l > 0) AS m FROM low GROUP BY 1
+), bits AS (SELECT item_id, k * 8 + l AS b, v > m AS on_ FROM low JOIN mid USING (item_id))"""
+
+
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Events as predictions of three seeds in two arms, with folds by group or at random."""
     e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type")

@@ -11,7 +11,7 @@ from ..functions import scalar as S
 from ..operators import checks
 from ..shared import scratch
 from ..sources import readers, sinks
-from .fixtures import ITEMS, LOGITS, PIXELS, PREDS, SOFTMAX, VECS, h, items, logits, pixels, predictions, vectors
+from .fixtures import BITS, ITEMS, LOGITS, PIXELS, PREDS, SOFTMAX, VECS, h, hashes, items, logits, pixels, predictions, vectors
 from .registry import query
 
 
@@ -25,10 +25,9 @@ def f2(spark, d):
     return items(spark, d).select("item_id", "content_hash")
 
 
-@query("F3_phash")
+@query("F3_phash", f"WITH {PIXELS}, {BITS}, w AS (SELECT item_id, sum(CASE WHEN on_ THEN 1::HUGEINT << (63 - b)::INT ELSE 0 END) AS s FROM bits GROUP BY 1) SELECT item_id, (s - CASE WHEN s >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END)::BIGINT AS phash FROM w")
 def f3(spark, d):
-    tiled = F.expr("flatten(transform(sequence(0, 15), k -> v))")
-    return vectors(spark, d).select("item_id", S.phash_1024(tiled).alias("phash"))
+    return hashes(spark, d)
 
 
 @query("F4_hamming", f"SELECT doc_id, bit_count(xor({h('text')}, {h('lang')}))::INT AS distance FROM documents")
@@ -324,11 +323,13 @@ def s10(spark, d):
 
 @query("K1_write_split", f"WITH {ITEMS} SELECT split, class, count(*) AS n FROM items GROUP BY 1, 2")
 def k1(spark, d):
-    """Written partitioned by split and class, checked again from disk, and counted."""
+    """Written partitioned by split and class, read back, checked to hold each item once, and counted."""
     out = scratch(spark)
     kept = items(spark, d).select("item_id", "split", "class", "content_hash")
     sinks.write_split(kept, out)
-    return spark.read.parquet(out).groupBy("split", "class").agg(F.count("*").alias("n"))
+    again = spark.read.parquet(out)
+    checks.check_unique(again, "item_id")
+    return again.groupBy("split", "class").agg(F.count("*").alias("n"))
 
 
 @query("K4_resume", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -294,3 +294,36 @@ def test_histogram_and_early_stop(spark):
     row = metrics.early_stop(hist, 3).first()
     assert (row["stop_epoch"], row["best_epoch"]) == (4, 1)
     assert pd.notna(row["stop_epoch"])
+
+
+def test_queries_without_sql_against_plain_versions(spark, smallest):
+    from splitproof.plans import fixtures, registry
+
+    rows = fixtures.vectors(spark, smallest).select("item_id", F.col("class").cast("string").alias("class"), "v").orderBy("item_id").collect()
+    got = {r["class"]: r for r in registry.QUERIES["A2_clusters"](spark, smallest).collect()}
+
+    def walk(part):
+        heads = []
+        for r in part:
+            sims = [float(np.dot(r["v"], h)) for h in heads]
+            if not sims or max(sims) < 0.4:
+                heads.append(r["v"])
+        return len(heads)
+
+    assert set(got) == {r["class"] for r in rows} | {"TOTAL"}
+    for name, r in got.items():
+        part = rows if name == "TOTAL" else [x for x in rows if x["class"] == name]
+        assert (r["files"], r["unique"], r["clusters"]) == (len(part), len({tuple(x["v"]) for x in part}), walk(part))
+
+    z = fixtures.logits(spark, smallest).collect()
+    zs, labels = np.array([r["z"] for r in z]), np.array([r["label"] for r in z])
+    for r in registry.QUERIES["A29_calibration"](spark, smallest).collect():
+        p = np.exp(zs / r["temperature"] - (zs / r["temperature"]).max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        top, right = p.max(1), p.argmax(1) == labels
+        bins = np.ceil(top * 10)
+        ece = sum((bins == b).mean() * abs(right[bins == b].mean() - top[bins == b].mean()) for b in set(bins.tolist()))
+        assert r["ece"] == pytest.approx(ece, abs=1e-5) and r["nll"] == pytest.approx(-np.log(p[np.arange(len(p)), labels]).mean(), abs=1e-5)
+        assert r["confident_errors"] == int(((top > 0.9) & ~right).sum())
+    w = registry.QUERIES["I8_wilcoxon_p"](spark, smallest).first()
+    assert w["w"] == registry.QUERIES["I8_wilcoxon"](spark, smallest).first()["w"] and 0 < w["p"] <= 1
