@@ -81,11 +81,11 @@ PIXELS = (
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
     """The perceptual hash of each vector's image, every pixel enlarged to 4 x 4: item_id, phash (64 bits)."""
-    from ..functions.scalar import perceptual_hash
+    from ..functions.scalar import enlarged_hashes
 
     @F.pandas_udf("long")
     def run(images: pd.Series) -> pd.Series:
-        return pd.Series([perceptual_hash(np.kron(np.asarray(p, float).reshape(8, 8), np.ones((4, 4)))) for p in images], dtype="Int64")
+        return pd.Series(enlarged_hashes(np.array(list(images), float).reshape(-1, 8, 8)))
 
     return pixels(spark, d).select("item_id", run("px").alias("phash"))
 

@@ -219,6 +219,22 @@ def test_image_functions():
     assert len({scalar.orient(x, n).tobytes() for n in scalar.DIHEDRAL}) == 8
 
 
+def test_hash_of_equal_coefficients_as_in_sql(spark, tmp_path):
+    """Symmetric and mirrored images: coefficients that differ by rounding only lie on the median. One thread, as the SQL's sums change with more."""
+    import duckdb
+
+    from splitproof.plans import registry
+
+    a = np.random.default_rng(0).integers(0, 256, (50, 8, 8))
+    images = np.concatenate([a + a.transpose(0, 2, 1), a + a[:, ::-1]]).reshape(-1, 64)
+    rows = [(i, [float(x) for x in v], i % 10) for i, v in enumerate(images)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = registry.QUERIES["F3_phash"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(registry.ORACLE_SQL["F3_phash"]).fetchall())
+
+
 def _png(path, pixels):
     import struct
     import zlib
